@@ -5,4 +5,12 @@ Columns); nothing is executed until the caller runs an action, except where a
 docstring says that the size of a query side is checked first.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Code that runs inside tasks travels with them, so that executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

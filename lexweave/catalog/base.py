@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CHARS
+from ..session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +33,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(scan) if name in ("documents", "pages") else scan
 
     def documents(self) -> DataFrame:
         """``documents`` in the shape of the document table."""
@@ -162,8 +164,8 @@ docs AS (
 
 QUERIES_SQL = r"""
 queries AS (
-  SELECT item_id * 1000 + at - 1 AS query_id, item_id, text FROM (
-    SELECT item_id, unnest(s) AS text, generate_subscripts(s, 1) AS at
+  SELECT item_id * 1000 + n - 1 AS query_id, item_id, text FROM (
+    SELECT item_id, unnest(s) AS text, generate_subscripts(s, 1) AS n
     FROM (SELECT item_id, regexp_split_to_array(text, '[.\n]') AS s FROM benchmark))
   WHERE regexp_matches(text, '[\p{L}\p{N}]{3,}'))
 """

@@ -23,48 +23,39 @@ MASK_BITS = 62
 
 def build_postings(
     chunks: DataFrame, key: str = "id", column: str = "content", keep: list[str] | None = None,
-    stop_words: list[str] | None = None,
+    stop_words: list[str] | None = None, positions: bool = True,
 ) -> DataFrame:
     """``(key, *keep, token, prefix3, tf, positions, n_tokens)``.
 
-    Positions count every word, also those dropped as ``stop_words``.
+    Positions count every word, also those dropped as ``stop_words``; they are
+    only needed for phrases and can be left out.
     """
     keep = keep or []
     listed = chunks.select(key, *keep, text.words(column).alias("words"))
-    # Sorting (word, position) puts the positions of a word side by side.
+    # Sorting (word, position) puts the occurrences of a word side by side.
     listed = listed.select(
         key, *keep, F.size("words").alias("n_tokens"),
         F.sort_array(
             F.transform("words", lambda word, at: F.struct(word.alias("token"), at.alias("at")))
         ).alias("sorted"),
     )
-    listed = listed.select(
-        key, *keep, "n_tokens", "sorted",
-        F.filter(
-            F.transform(
-                "sorted",
-                lambda entry, i: F.when(
-                    (i == 0) | (F.get("sorted", i - 1)["token"] != entry["token"]), i
-                ),
-            ),
-            lambda start: start.isNotNull(),
-        ).alias("starts"),
-    )
-    runs = F.transform(
-        "starts",
-        lambda start, i: F.struct(
-            F.get("sorted", start)["token"].alias("token"),
-            F.slice(
-                F.col("sorted.at"),
-                start + 1,
-                F.coalesce(F.get("starts", i + 1), F.size("sorted")) - start,
-            ).alias("positions"),
-        ),
-    )
-    postings = listed.select(key, *keep, "n_tokens", F.inline(runs)).select(
-        key, *keep, "token", F.substring("token", 1, 3).alias("prefix3"),
-        F.size("positions").alias("tf"), "positions", "n_tokens",
+    starts = F.filter(
+        F.sequence(F.lit(0), F.col("n_tokens") - 1),
+        lambda i: (i == 0) | (F.get("sorted", i - 1)["token"] != F.get("sorted", i)["token"]),
     )
+    listed = listed.where("n_tokens > 0").select(key, *keep, "n_tokens", "sorted", starts.alias("starts"))
+
+    def run(start: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("starts", i + 1), F.col("n_tokens"))
+        fields = [F.get("sorted", start)["token"].alias("token"), (stop - start).alias("tf")]
+        if positions:
+            places = F.transform(F.sequence(start, stop - 1), lambda at: F.get("sorted", at)["at"])
+            fields.append(places.alias("positions"))
+        return F.struct(*fields)
+
+    found = listed.select(key, *keep, "n_tokens", F.inline(F.transform("starts", run)))
+    names = ["tf", "positions", "n_tokens"] if positions else ["tf", "n_tokens"]
+    postings = found.select(key, *keep, "token", F.substring("token", 1, 3).alias("prefix3"), *names)
     return postings.where(~F.col("token").isin(stop_words)) if stop_words else postings
 
 
@@ -171,7 +162,8 @@ def match_terms(
     if stats is None:
         score = F.sum("tf").cast("double")
     else:
-        score = F.sum(bm25(stats.select(F.struct("n_docs", "avg_tokens")).scalar()))
+        # rounded, as the order of summing differs from run to run and would break ties
+        score = F.round(F.sum(bm25(stats.select(F.struct("n_docs", "avg_tokens")).scalar())), 6)
     grouped = hits.groupBy("query_id", key, *keep).agg(
         all_seen(masks).alias("complete"), score.alias("score")
     )

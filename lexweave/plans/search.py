@@ -39,13 +39,14 @@ class Corpus:
         return self.stats if self.stats is not None else lexical.corpus_stats(self.rows)
 
 
-def index_corpus(rows: DataFrame, saved: bool = False) -> Corpus:
+def index_corpus(rows: DataFrame, saved: bool = False, positions: bool = False) -> Corpus:
     """The text index of ``rows``; ``saved`` writes index, dictionary and numbers once.
 
     Saving pays as soon as an index answers more than one batch of queries.
+    Phrases need ``positions``.
     """
     keep = [name for name in [*lexical.FILTERS, "document_id"] if name in rows.columns]
-    postings = lexical.build_postings(rows, keep=keep)
+    postings = lexical.build_postings(rows, keep=keep, positions=positions)
     if not saved:
         return Corpus(rows, postings)
     postings = materialize(postings, "postings")
@@ -79,7 +80,7 @@ def ranked_branches(
     if phrase_first:
         matches = lexical.with_phrase_flag(matches, lexical.match_phrase(corpus.postings, terms))
     top = lexical.lexical_top(matches, k, phrase_first=phrase_first)
-    top = top.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    top = top.select("query_id", "id", "score", "rank")
     if empty_policy != "none":
         top = top.unionByName(
             lexical.empty_plan_matches(queries, plan, corpus.rows, k, empty_policy)
