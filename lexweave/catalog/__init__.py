@@ -1,4 +1,4 @@
 """Runnable queries over the given tables, one or more per operator."""
 
-from . import enrichment, ingest, searching  # noqa: F401
+from . import answers, enrichment, ingest, reports, searching  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

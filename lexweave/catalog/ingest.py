@@ -17,23 +17,30 @@ from .base import DOCUMENTS_SQL, RAW_DOCUMENTS_SQL, RWS, Tables, register, sourc
 SUFFIXES = [".xml", ".HTML", ".htm", ".txt", ".xml.gz", ".xhtml"]
 
 
+def pack_documents(documents, prefix: str):
+    """``(archive_filename, content)``: the documents of each batch as one zip archive."""
+
+    def pack(batches):
+        for batch in batches:
+            if len(batch):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                    for name, content in zip(batch["member"], batch["content"]):
+                        archive.writestr(name, content)
+                name = f"{prefix}-{batch['id'].iloc[0]}.zip"
+                yield pd.DataFrame({"archive_filename": [name], "content": [buffer.getvalue()]})
+
+    columns = documents.select("id", "member", "content")
+    return columns.mapInPandas(pack, "archive_filename string, content binary")
+
+
 @register(
     "a1_read_archives",
     "SELECT 'd' || doc_id || '.xml' AS member, length(text) AS n_chars, md5(text) AS raw_md5 FROM documents",
 )
 def read_archives(t: Tables):
     """Packs the documents of each batch into a zip archive, then reads the archives."""
-
-    def pack(batches):
-        for batch in batches:
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                for name, content in zip(batch["member"], batch["content"]):
-                    archive.writestr(name, content)
-            yield pd.DataFrame({"archive_filename": [f"{batch['id'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
-
-    packed = t.documents().select("id", "member", "content").mapInPandas(pack, "archive_filename string, content binary")
-    members = archives.unpack_files(packed)
+    members = archives.unpack_files(pack_documents(t.documents(), "a"))
     return members.select("member", F.length("raw").alias("n_chars"), F.md5(F.col("raw").cast("binary")).alias("raw_md5"))
 
 

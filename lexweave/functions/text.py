@@ -63,6 +63,11 @@ def first_group(text, pattern: str) -> Column:
     return null_if_empty(F.regexp_extract(as_column(text), pattern, 1))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def replace_matches(text, pattern: str, change: Callable[[Column], Column]) -> Column:
     """Rewrite every match with a column function, where a pattern alone cannot decide."""
     text = as_column(text)
@@ -287,18 +292,25 @@ def chunk_snippet(text, limit: int = 300) -> Column:
 def best_window_snippet(text, tokens, width: int = 150, step: int = 100, reach: int = 10000) -> Column:
     """The earliest window with the most distinct query tokens in it, ellipses at the cuts."""
     text, tokens = as_column(text), as_column(tokens)
-    lowered = F.lower(head(text, reach + width))
     starts = F.sequence(F.lit(0), F.greatest(F.least(F.length(text), F.lit(reach)) - 1, F.lit(0)), F.lit(step))
-    scored = F.transform(
-        starts,
-        lambda start: F.struct(
-            F.size(
-                F.filter(tokens, lambda token: F.substring(lowered, start + 1, F.lit(width)).contains(token))
-            ).alias("score"),
-            (-start).alias("back"),
-        ),
-    )
-    best = F.array_max(scored)
+
+    def scored(lowered: Column, wanted: Column) -> Column:
+        def score(start: Column) -> Column:
+            return let(
+                F.substring(lowered, start + 1, F.lit(width)),
+                lambda window: F.struct(
+                    F.size(F.filter(wanted, lambda token: window.contains(token))).alias("score"),
+                    (-start).alias("back"),
+                ),
+            )
+
+        return F.array_max(F.transform(starts, score))
+
+    best = let(F.lower(head(text, reach + width)), lambda low: let(tokens, lambda wanted: scored(low, wanted)))
+    return let(best, lambda found: _window_text(text, found, width))
+
+
+def _window_text(text: Column, best: Column, width: int) -> Column:
     start = F.when(best["score"] > 0, -best["back"]).otherwise(F.lit(0))
     cut = F.concat(
         F.when(start > 0, F.lit("…")).otherwise(F.lit("")),

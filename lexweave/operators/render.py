@@ -66,7 +66,7 @@ def _list_contents(body: Column) -> Column:
         F.size(items) > 0, F.concat(F.lit("## Innhold\n\n"), F.array_join(items, "\n"))
     ).otherwise(F.lit("## Innhold"))
     at = F.locate("## Innhold", body)
-    first = F.locate(found, body)
+    first = F.position(found, body)
     return F.when(
         (at > 0) & (found != ""),
         F.concat(
