@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
-from .text import BOUNDARY, WS, as_column, first_group, null_if_empty, trim_ws
+from .text import BOUNDARY, WS, as_column, first_group, let, null_if_empty, trim_ws
 
 
 def word_pattern(words: list[str]) -> str:
@@ -26,6 +26,24 @@ def first_rule(text, rules: list[tuple[str, list[str]]]) -> Column:
     return F.coalesce(*[F.when(has_word(text, *words), F.lit(result)) for result, words in rules])
 
 
+def sifted(text, rules: list[tuple[str, list[str]]]) -> Column:
+    """The words of the rules that occur in ``text``, one per line, found in a single pass.
+
+    Running a long rule list over this instead of the text gives the same result
+    for a fraction of the work, as long as no phrase of the list ends with words
+    another one starts with.
+    """
+    words = "|".join(word for _, listed in rules for word in listed)
+    found = F.regexp_extract_all(
+        F.lower(as_column(text)), F.lit(f"{BOUNDARY}(?:{words}){BOUNDARY}"), F.lit(0)
+    )
+    return F.array_join(F.array_distinct(found), "\n")
+
+
+def first_rule_of_long_text(text, rules: list[tuple[str, list[str]]]) -> Column:
+    return let(sifted(text, rules), lambda mentioned: first_rule(mentioned, rules))
+
+
 def with_title(title, text) -> Column:
     return F.concat_ws(" ", null_if_empty(title), F.coalesce(as_column(text), F.lit("")))
 
@@ -35,7 +53,9 @@ def classify_law_type(title, text, rules=fixed.LAW_TYPES) -> Column:
     everything = with_title(title, text)
     named_law = everything.rlike(f"{BOUNDARY}[A-ZÆØÅ][a-zæøå]+loven?{BOUNDARY}")
     return F.coalesce(
-        first_rule(title, rules), first_rule(everything, rules), F.when(named_law, F.lit("Lov"))
+        first_rule(title, rules),
+        first_rule_of_long_text(everything, rules),
+        F.when(named_law, F.lit("Lov")),
     )
 
 
@@ -61,7 +81,8 @@ def extract_ministry(title, text, rules=None) -> Column:
         f"(?iu){BOUNDARY}([A-ZÆØÅ][a-zæøå]+(?:-?{WS}*og{WS}*[a-zæøå]+)?departementet?){BOUNDARY}"
     )
     return F.coalesce(
-        first_rule(everything, rules or document_ministry_rules()), first_group(everything, generic)
+        first_rule_of_long_text(everything, rules or document_ministry_rules()),
+        first_group(everything, generic),
     )
 
 
