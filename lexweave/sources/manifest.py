@@ -16,7 +16,7 @@ def file_manifest(spark: SparkSession, folder: str, prefix: str = "", checksum:
     """``(path, content_type, length, sha256)`` of all files below a folder.
 
     Paths are relative to the folder.  Without checksums only the listing is
-    read, not the contents.
+    read, not the contents.  Files of length 0 are left out, as file sources skip them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.split(":", 1)[-1].rstrip("/")
