@@ -261,22 +261,21 @@ def postings(t: Tables):
     return built.select("id", "token", "prefix3", "tf", F.md5(listed.cast("binary")).alias("positions_md5"), "n_tokens")
 
 
-def _terms(t: Tables, mode: str = "default", positions: bool = False):
-    built = lexical.build_postings(t.documents(), positions=positions)
-    plan = query.build_match_plan(t.queries(), mode)
-    return built, lexical.resolve_terms(plan, built)
+def _planned(t: Tables, mode: str = "default", positions: bool = False):
+    """Index, plan and terms of the benchmark sentences."""
+    corpus = search.index_corpus(t.documents(), positions)
+    return (corpus.postings, *search.plan_terms(corpus, t.queries(), mode))
 
 
 @register("f2_match_all", f"WITH {LEXICAL_SQL} SELECT query_id, id FROM matches")
 def match_all(t: Tables):
-    built, terms = _terms(t)
-    return lexical.match_terms(built, terms).select("query_id", "id")
+    return lexical.match_terms(*_planned(t)).select("query_id", "id")
 
 
 @register("f3_match_phrase", f"WITH {LEXICAL_SQL}, {PHRASES_SQL} SELECT query_id, id FROM phrases")
 def match_phrase(t: Tables):
-    built, terms = _terms(t, positions=True)
-    return lexical.match_phrase(built, terms)
+    planned = _planned(t, positions=True)
+    return lexical.match_phrase(*planned, lexical.match_terms(*planned))
 
 
 @register(
@@ -285,17 +284,17 @@ def match_phrase(t: Tables):
     SELECT query_id, id FROM matches""",
 )
 def match_prefix(t: Tables):
-    built, terms = _terms(t, "prefix_all")
-    return lexical.match_terms(built, terms).select("query_id", "id")
+    return lexical.match_terms(*_planned(t, "prefix_all")).select("query_id", "id")
 
 
 @register(
     "f4_resolve_terms",
     f"""WITH {DOCUMENTS_SQL}, {QUERIES_SQL}, {plan_sql('queries')}, {postings_sql()}, {TERMS_SQL}
-    SELECT query_id, ord, n_terms, token, df FROM resolved""",
+    SELECT DISTINCT term, mode, token, df FROM plan JOIN dictionary
+    ON CASE WHEN mode = 'exact' THEN token = term ELSE starts_with(token, term) END""",
 )
 def resolve(t: Tables):
-    return _terms(t)[1]
+    return _planned(t)[2]
 
 
 @register(
@@ -304,9 +303,9 @@ def resolve(t: Tables):
     FROM matches m LEFT JOIN phrases p USING (query_id, id)""",
 )
 def phrase_or_all(t: Tables):
-    built, terms = _terms(t, positions=True)
-    matched = lexical.match_terms(built, terms).select("query_id", "id")
-    return lexical.with_phrase_flag(matched, lexical.match_phrase(built, terms))
+    planned = _planned(t, positions=True)
+    matched = lexical.match_terms(*planned).select("query_id", "id")
+    return lexical.with_phrase_flag(matched, lexical.match_phrase(*planned, matched))
 
 
 @register("f6_lexical_rank", f"WITH {LEXICAL_SQL} SELECT query_id, id, score FROM matches")
@@ -344,11 +343,8 @@ def metadata_filter(t: Tables):
 )
 def lexical_top(t: Tables):
     corpus = search.index_corpus(t.documents(), positions=True)
-    plan = query.build_match_plan(t.queries())
-    terms = lexical.resolve_terms(plan, corpus.postings)
-    matched = lexical.match_terms(corpus.postings, terms, stats=corpus.numbers())
-    flagged = lexical.with_phrase_flag(matched, lexical.match_phrase(corpus.postings, terms))
-    return lexical.lexical_top(flagged, 20, phrase_first=True).drop("phrase_hit")
+    top, _ = search.ranked_branches(corpus, t.queries(), 10, phrase_first=True)
+    return top
 
 
 CHUNKS_SQL = f"""{walk_sql(1000, 200, True)},

@@ -1,10 +1,10 @@
 """Lexical retrieval: a text index as a table, term matching, BM25.
 
 The index has one row per (chunk, word) with its positions.  It is built inside
-each chunk's row, so building shuffles nothing, and matching combines the words
-of a chunk on the map side before the one shuffle on (query, chunk).  Written
-with ``write_postings`` it is bucketed by chunk, and that shuffle goes too.
-Common words spread over all chunks and therefore over all tasks.
+each chunk's row, so building shuffles nothing.  Matching works on the distinct
+terms of all queries first, however many queries share a term; a query then
+looks only at the chunks that hold its rarest term.  Common words are spread
+over all chunks and therefore over all tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from .query import EXACT, PREFIX
 
 K1, B = 1.2, 0.75
 FILTERS = ["year", "law_type", "ministry"]
-MASK_BITS = 62
 
 
 def build_postings(
@@ -77,120 +76,142 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token", "prefix3").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(chunks: DataFrame, column: str = "content") -> DataFrame:
-    """One row ``(n_docs, avg_tokens)``."""
-    return chunks.agg(
-        F.count("*").alias("n_docs"), F.avg(F.size(text.words(column))).alias("avg_tokens")
+def corpus_stats(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row ``(n_docs, avg_tokens)``; the words are counted in the index."""
+    sizes = chunks.select(F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("t")).unionAll(
+        postings.select(F.lit(0).cast("long"), F.col("tf").cast("long"))
+    )
+    return sizes.agg(
+        F.sum("n").alias("n_docs"), F.try_divide(F.sum("t"), F.sum("n")).alias("avg_tokens")
     )
 
 
 def resolve_terms(plan: DataFrame, postings: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """The plan with each term replaced by the index words it stands for, and their df.
+    """``(term, mode, token, df)``: the index words each distinct term of the plan stands for.
 
-    ``(query_id, ord, n_terms, token, df)``.  Terms of three and more letters meet
-    the dictionary by an equi-join on the first three; shorter prefixes by an
-    equi-join on their own length.  The result is small and read several times
-    by the matching, so it is written once to the shared folder.
+    Terms of three and more letters meet the dictionary by an equi-join on the
+    first three; shorter prefixes by an equi-join on their own length.  The
+    result is small and read several times by the matching, so it is written
+    once to the shared folder.
     """
-    long_terms = plan.where(F.length("term") >= 3).withColumn("prefix3", F.substring("term", 1, 3))
-    if dictionary is None:
-        wanted = small_side(long_terms.select("prefix3").distinct())
-        narrowed = postings.join(wanted, "prefix3", "left_semi")
-        dictionary = term_stats(narrowed)
-        every_word = term_stats(postings)
-    else:
-        every_word = dictionary
+    dictionary = term_stats(postings) if dictionary is None else dictionary
+    terms = plan.select("term", "mode").distinct()
+    long_terms = terms.where(F.length("term") >= 3).withColumn("prefix3", F.substring("term", 1, 3))
     fits = ((F.col("mode") == EXACT) & (F.col("token") == F.col("term"))) | (
         (F.col("mode") == PREFIX) & F.col("token").startswith(F.col("term"))
     )
-    columns = ["query_id", "ord", "n_terms", "token", "df"]
+    columns = ["term", "mode", "token", "df"]
     resolved = dictionary.join(small_side(long_terms), "prefix3").where(fits).select(*columns)
     for length in (1, 2):
-        short = plan.where((F.length("term") == length) & (F.col("mode") == PREFIX))
+        short = terms.where((F.length("term") == length) & (F.col("mode") == PREFIX))
         if not short.isEmpty():
             start = F.substring("token", 1, length)
-            found = every_word.withColumn("term", start).join(small_side(short), "term")
+            found = dictionary.withColumn("term", start).join(small_side(short), "term")
             resolved = resolved.unionByName(found.select(*columns))
     return materialize(resolved, "terms")
 
 
-def filter_fits(filters: list[str]) -> Column:
-    """Row and query agree on every filter; a null filter of the query fits all rows."""
-    fits = F.lit(True)
-    for name in filters:
-        fits = fits & (F.col(f"filter_{name}").isNull() | (F.col(f"filter_{name}") == F.col(name)))
-    return fits
+def bm25(corpus: Column, k1: float = K1, b: float = B) -> Column:
+    """BM25 weight of one posting row from ``df, tf, n_tokens`` and the corpus numbers."""
+    idf = F.log(1 + (corpus["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / corpus["avg_tokens"])
+    return idf * F.col("tf") * (k1 + 1) / norm
 
 
-def term_masks(terms: DataFrame) -> list[Column]:
-    """Aggregates that note, as bits, which terms of the query were seen.
+def doc_terms(
+    postings: DataFrame, terms: DataFrame, key: str = "id", keep: list[str] | None = None,
+    stats: DataFrame | None = None, positions: bool = False,
+) -> DataFrame:
+    """``(key, *keep, term, mode, weight)``: the terms each chunk has, over all queries at once.
 
-    Bits combine on the map side and ignore repeats.  62 terms fit into one
-    number; the longest query decides how many numbers are needed.
+    The weight is the BM25 sum of the words behind the term, or without
+    ``stats`` their number.  The words of a chunk combine on the map side.
     """
-    longest = terms.agg(F.max("n_terms")).first()[0] or 1
-    masks = []
-    for start in range(0, longest, MASK_BITS):
-        at = F.col("ord") - start
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
-        inside = at.between(0, MASK_BITS - 1)
-        masks.append(F.bit_or(F.when(inside, bit).otherwise(F.lit(0).cast("long"))))
-    return masks
+    keep = keep or []
+    hits = postings.join(small_side(terms), "token")
+    if stats is None:
+        weight = F.sum("tf").cast("double")
+    else:
+        weight = F.sum(bm25(stats.select(F.struct("n_docs", "avg_tokens")).scalar()))
+    places = [F.flatten(F.collect_list("positions")).alias("positions")] if positions else []
+    return hits.groupBy(key, *keep, "term", "mode").agg(weight.alias("weight"), *places)
+
+
+def rarest_terms(plan: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(query_id, term, mode, n_terms)``: per query the term with the fewest postings."""
+    sizes = terms.groupBy("term", "mode").agg(F.sum("df").alias("df"))
+    sized = plan.join(small_side(sizes), ["term", "mode"], "left")
+    order = F.struct(F.coalesce("df", F.lit(0).cast("long")), "ord")
+    rarest = sized.groupBy("query_id").agg(
+        F.min_by(F.struct("term", "mode", "n_terms"), order).alias("rarest")
+    )
+    return rarest.select("query_id", "rarest.*")
 
 
-def all_seen(masks: list[Column]) -> Column:
-    return sum((F.bit_count(mask) for mask in masks), F.lit(0)) == F.max("n_terms")
+def filter_fits(filters: list[str]) -> Column:
+    """Row and query agree on every filter; a null filter of the query fits all rows."""
+    fits = F.lit(True)
+    for name in filters:
+        fits = fits & (F.col(f"filter_{name}").isNull() | (F.col(f"filter_{name}") == F.col(name)))
+    return fits
 
 
 def match_terms(
-    postings: DataFrame, terms: DataFrame, key: str = "id", keep: list[str] | None = None,
+    postings: DataFrame, plan: DataFrame, terms: DataFrame, key: str = "id", keep: list[str] | None = None,
     stats: DataFrame | None = None, queries: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, key, *keep, score)`` for the chunks that have every term of the query.
 
-    The score is BM25 with ``stats`` and the plain number of occurrences without.
-    ``queries`` may bring ``filter_*`` columns; they are applied to the posting
-    rows before anything is scored or shuffled.
+    ``terms`` comes from ``resolve_terms``.  Chunks with the rarest term of a
+    query are its candidates; the filters ``filter_*`` of ``queries`` apply to
+    them before the other terms are looked up.
     """
     keep = keep or []
     filters = [name for name in FILTERS if queries is not None and f"filter_{name}" in queries.columns]
-    masks = term_masks(terms)
+    carried = list(dict.fromkeys([*keep, *filters]))
+    rarest = rarest_terms(plan, terms)
     if filters:
-        terms = terms.join(queries.select("query_id", *[f"filter_{name}" for name in filters]), "query_id")
-    hits = postings.join(small_side(terms), "token")
-    hits = hits.where(filter_fits(filters)) if filters else hits
-    if stats is None:
-        score = F.sum("tf").cast("double")
-    else:
-        # rounded, as the order of summing differs from run to run and would break ties
-        score = F.round(F.sum(bm25(stats.select(F.struct("n_docs", "avg_tokens")).scalar())), 6)
-    grouped = hits.groupBy("query_id", key, *keep).agg(
-        all_seen(masks).alias("complete"), score.alias("score")
+        rarest = rarest.join(queries.select("query_id", *[f"filter_{name}" for name in filters]), "query_id")
+    at_term = ["term", "mode"]
+    candidates = doc_terms(postings, terms, key, carried, stats).join(small_side(rarest), at_term)
+    candidates = candidates.where(filter_fits(filters)).select("query_id", key, *keep, *at_term, "n_terms", "weight")
+    found = candidates.where("n_terms = 1").select("query_id", key, *keep, "n_terms", "weight")
+    others = plan.where("n_terms > 1").select("query_id", *at_term)
+    wanted = (
+        candidates.where("n_terms > 1")
+        .select("query_id", key, *keep, "n_terms")
+        .join(small_side(others), "query_id")
     )
-    return grouped.where("complete").drop("complete")
-
-
-def bm25(corpus: Column, k1: float = K1, b: float = B) -> Column:
-    """BM25 weight of one posting row from ``df, tf, n_tokens`` and the corpus numbers."""
-    idf = F.log(1 + (corpus["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / corpus["avg_tokens"])
-    return idf * F.col("tf") * (k1 + 1) / norm
+    present = doc_terms(postings, terms, key, stats=stats)
+    complete = wanted.join(present, [key, *at_term]).select("query_id", key, *keep, "n_terms", "weight")
+    # rounded, as the order of summing differs from run to run and would break ties
+    grouped = found.unionByName(complete).groupBy("query_id", key, *keep).agg(
+        F.count("*").alias("present"), F.max("n_terms").alias("n_terms"), F.round(F.sum("weight"), 6).alias("score")
+    )
+    return grouped.where("present = n_terms").select("query_id", key, *keep, "score")
 
 
-def match_phrase(postings: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
-    """``(query_id, key)`` where the terms stand side by side in the order of the query.
+def match_phrase(
+    postings: DataFrame, plan: DataFrame, terms: DataFrame, matches: DataFrame, key: str = "id"
+) -> DataFrame:
+    """``(query_id, key)`` of the ``matches`` with the terms side by side in the order of the query.
 
     Each occurrence votes for the place where the phrase would start; a start
-    with a vote of every term is a hit.  Votes are combined on the map side.
+    with a vote of every term is a hit.
     """
-    masks = term_masks(terms)
-    hits = postings.join(small_side(terms.where("n_terms > 1")), "token")
-    starts = hits.select(
-        "query_id", key, "n_terms", "ord",
+    at_term = ["term", "mode"]
+    wanted = matches.select("query_id", key).join(
+        small_side(plan.where("n_terms > 1").select("query_id", "ord", "n_terms", *at_term)), "query_id"
+    )
+    occurrences = doc_terms(postings, terms, key, positions=True).select(key, *at_term, "positions")
+    starts = wanted.join(occurrences, [key, *at_term]).select(
+        "query_id", key, "n_terms",
         F.explode(F.transform("positions", lambda at: at - F.col("ord"))).alias("start"),
-    ).where("start >= 0")
-    grouped = starts.groupBy("query_id", key, "start").agg(all_seen(masks).alias("complete"))
-    return grouped.where("complete").select("query_id", key).distinct()
+    )
+    grouped = starts.where("start >= 0").groupBy("query_id", key, "start").agg(
+        F.count("*").alias("votes"), F.max("n_terms").alias("n_terms")
+    )
+    return grouped.where("votes = n_terms").select("query_id", key).distinct()
 
 
 def with_phrase_flag(matches: DataFrame, phrases: DataFrame, key: str = "id") -> DataFrame:

