@@ -294,7 +294,7 @@ def match_prefix(t: Tables):
     ON CASE WHEN mode = 'exact' THEN token = term ELSE starts_with(token, term) END""",
 )
 def resolve(t: Tables):
-    return _planned(t)[2]
+    return _planned(t)[2].drop("term_id")
 
 
 @register(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import materialize, small_side
+from ..session import BROADCAST_ROWS, is_small, materialize
 from .query import EXACT, PREFIX
 
 K1, B = 1.2, 0.75
@@ -87,30 +87,38 @@ def corpus_stats(chunks: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def resolve_terms(plan: DataFrame, postings: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """``(term, mode, token, df)``: the index words each distinct term of the plan stands for.
+    """``(term_id, term, mode, token, df)``: the index words each distinct term of the plan stands for.
 
     Terms of three and more letters meet the dictionary by an equi-join on the
-    first three; shorter prefixes by an equi-join on their own length.  The
-    result is small and read several times by the matching, so it is written
-    once to the shared folder.
+    first three; shorter prefixes by an equi-join on their own length.  Terms
+    and result are small and read several times by the matching, so they are
+    written once to the shared folder; that also fixes the numbers.
     """
     dictionary = term_stats(postings) if dictionary is None else dictionary
-    terms = plan.select("term", "mode").distinct()
+    numbered = plan.select("term", "mode").distinct().withColumn("term_id", F.monotonically_increasing_id())
+    terms = materialize(numbered, "plan-terms")
+    is_short = (F.length("term") < 3) & (F.col("mode") == PREFIX)
+    n_terms, n_short = terms.agg(F.count("*"), F.count_if(is_short)).first()
+    hint = F.broadcast if n_terms <= BROADCAST_ROWS else lambda side: side
     long_terms = terms.where(F.length("term") >= 3).withColumn("prefix3", F.substring("term", 1, 3))
     fits = ((F.col("mode") == EXACT) & (F.col("token") == F.col("term"))) | (
         (F.col("mode") == PREFIX) & F.col("token").startswith(F.col("term"))
     )
-    columns = ["term", "mode", "token", "df"]
-    resolved = dictionary.join(small_side(long_terms), "prefix3").where(fits).select(*columns)
-    for length in (1, 2):
-        short = terms.where((F.length("term") == length) & (F.col("mode") == PREFIX))
-        if not short.isEmpty():
-            start = F.substring("token", 1, length)
-            found = dictionary.withColumn("term", start).join(small_side(short), "term")
-            resolved = resolved.unionByName(found.select(*columns))
+    columns = ["term_id", "term", "mode", "token", "df"]
+    resolved = dictionary.join(hint(long_terms), "prefix3").where(fits).select(*columns)
+    for length in (1, 2) if n_short else ():
+        short = terms.where(is_short & (F.length("term") == length)).withColumnRenamed("term", "start")
+        found = dictionary.withColumn("start", F.substring("token", 1, length)).join(hint(short), "start")
+        resolved = resolved.unionByName(found.withColumnRenamed("start", "term").select(*columns))
     return materialize(resolved, "terms")
 
 
+def numbered_plan(plan: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(query_id, ord, n_terms, term_id, df)``; no number when the index has no word for a term."""
+    sizes = terms.groupBy("term", "mode", "term_id").agg(F.sum("df").alias("df"))
+    return plan.join(sizes, ["term", "mode"], "left").select("query_id", "ord", "n_terms", "term_id", "df")
+
+
 def bm25(corpus: Column, k1: float = K1, b: float = B) -> Column:
     """BM25 weight of one posting row from ``df, tf, n_tokens`` and the corpus numbers."""
     idf = F.log(1 + (corpus["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -120,31 +128,30 @@ def bm25(corpus: Column, k1: float = K1, b: float = B) -> Column:
 
 def doc_terms(
     postings: DataFrame, terms: DataFrame, key: str = "id", keep: list[str] | None = None,
-    stats: DataFrame | None = None, positions: bool = False,
+    stats: DataFrame | None = None, positions: bool = False, small: bool | None = None,
 ) -> DataFrame:
-    """``(key, *keep, term, mode, weight)``: the terms each chunk has, over all queries at once.
+    """``(key, *keep, term_id, weight)``: the terms each chunk has, over all queries at once.
 
     The weight is the BM25 sum of the words behind the term, or without
     ``stats`` their number.  The words of a chunk combine on the map side.
+    ``small`` says whether the terms may be broadcast; otherwise they are counted.
     """
     keep = keep or []
-    hits = postings.join(small_side(terms), "token")
+    small = is_small(terms) if small is None else small
+    words = terms.select("term_id", "token", "df")
+    hits = postings.join(F.broadcast(words) if small else words, "token")
     if stats is None:
         weight = F.sum("tf").cast("double")
     else:
         weight = F.sum(bm25(stats.select(F.struct("n_docs", "avg_tokens")).scalar()))
     places = [F.flatten(F.collect_list("positions")).alias("positions")] if positions else []
-    return hits.groupBy(key, *keep, "term", "mode").agg(weight.alias("weight"), *places)
+    return hits.groupBy(key, *keep, "term_id").agg(weight.alias("weight"), *places)
 
 
-def rarest_terms(plan: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(query_id, term, mode, n_terms)``: per query the term with the fewest postings."""
-    sizes = terms.groupBy("term", "mode").agg(F.sum("df").alias("df"))
-    sized = plan.join(small_side(sizes), ["term", "mode"], "left")
+def rarest_terms(numbered: DataFrame) -> DataFrame:
+    """``(query_id, term_id, n_terms)``: per query the term with the fewest postings."""
     order = F.struct(F.coalesce("df", F.lit(0).cast("long")), "ord")
-    rarest = sized.groupBy("query_id").agg(
-        F.min_by(F.struct("term", "mode", "n_terms"), order).alias("rarest")
-    )
+    rarest = numbered.groupBy("query_id").agg(F.min_by(F.struct("term_id", "n_terms"), order).alias("rarest"))
     return rarest.select("query_id", "rarest.*")
 
 
@@ -169,23 +176,20 @@ def match_terms(
     keep = keep or []
     filters = [name for name in FILTERS if queries is not None and f"filter_{name}" in queries.columns]
     carried = list(dict.fromkeys([*keep, *filters]))
-    rarest = rarest_terms(plan, terms)
+    small = is_small(terms)
+    # the plan has no fewer rows than any of the query sides below
+    hint = F.broadcast if is_small(plan) else lambda side: side
+    numbered = numbered_plan(plan, terms)
+    rarest = rarest_terms(numbered)
     if filters:
         rarest = rarest.join(queries.select("query_id", *[f"filter_{name}" for name in filters]), "query_id")
-    at_term = ["term", "mode"]
-    candidates = doc_terms(postings, terms, key, carried, stats).join(small_side(rarest), at_term)
-    candidates = candidates.where(filter_fits(filters)).select("query_id", key, *keep, *at_term, "n_terms", "weight")
-    found = candidates.where("n_terms = 1").select("query_id", key, *keep, "n_terms", "weight")
-    others = plan.where("n_terms > 1").select("query_id", *at_term)
-    wanted = (
-        candidates.where("n_terms > 1")
-        .select("query_id", key, *keep, "n_terms")
-        .join(small_side(others), "query_id")
-    )
-    present = doc_terms(postings, terms, key, stats=stats)
-    complete = wanted.join(present, [key, *at_term]).select("query_id", key, *keep, "n_terms", "weight")
+    rare_words = terms.join(hint(rarest.select("term_id").distinct()), "term_id", "left_semi")
+    holders = doc_terms(postings, rare_words, key, carried, small=small).join(hint(rarest), "term_id")
+    candidates = holders.where(filter_fits(filters)).select("query_id", key, *keep, "n_terms")
+    wanted = candidates.join(hint(numbered.select("query_id", "term_id")), "query_id")
+    present = wanted.join(doc_terms(postings, terms, key, stats=stats, small=small), [key, "term_id"])
     # rounded, as the order of summing differs from run to run and would break ties
-    grouped = found.unionByName(complete).groupBy("query_id", key, *keep).agg(
+    grouped = present.groupBy("query_id", key, *keep).agg(
         F.count("*").alias("present"), F.max("n_terms").alias("n_terms"), F.round(F.sum("weight"), 6).alias("score")
     )
     return grouped.where("present = n_terms").select("query_id", key, *keep, "score")
@@ -199,12 +203,11 @@ def match_phrase(
     Each occurrence votes for the place where the phrase would start; a start
     with a vote of every term is a hit.
     """
-    at_term = ["term", "mode"]
-    wanted = matches.select("query_id", key).join(
-        small_side(plan.where("n_terms > 1").select("query_id", "ord", "n_terms", *at_term)), "query_id"
-    )
-    occurrences = doc_terms(postings, terms, key, positions=True).select(key, *at_term, "positions")
-    starts = wanted.join(occurrences, [key, *at_term]).select(
+    hint = F.broadcast if is_small(plan) else lambda side: side
+    several = numbered_plan(plan, terms).where("n_terms > 1").select("query_id", "ord", "n_terms", "term_id")
+    wanted = matches.select("query_id", key).join(hint(several), "query_id")
+    occurrences = doc_terms(postings, terms, key, positions=True).select(key, "term_id", "positions")
+    starts = wanted.join(occurrences, [key, "term_id"]).select(
         "query_id", key, "n_terms",
         F.explode(F.transform("positions", lambda at: at - F.col("ord"))).alias("start"),
     )
