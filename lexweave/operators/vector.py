@@ -41,9 +41,14 @@ def _unit(vectors) -> np.ndarray:
     return matrix / norms
 
 
-def _best(rows: pd.DataFrame, queries: pd.DataFrame, k: int, filters: list[str]) -> pd.DataFrame:
-    """The best ``k`` of ``rows`` for each of ``queries``; ties go to the smaller id."""
-    scores = np.round(_unit(queries["vector"]) @ _unit(rows["embedding"]).T, DECIMALS)
+def _best(
+    rows: pd.DataFrame, queries: pd.DataFrame, asked: np.ndarray, k: int, filters: list[str]
+) -> pd.DataFrame:
+    """The best ``k`` of ``rows`` for each of ``queries``; ties go to the smaller id.
+
+    ``asked`` has the unit vectors of the queries.
+    """
+    scores = np.round(asked @ _unit(rows["embedding"]).T, DECIMALS)
     for name in filters:
         wanted = queries[f"filter_{name}"].to_numpy(dtype=object)
         have = rows[name].to_numpy(dtype=object)
@@ -99,12 +104,12 @@ def vector_top(chunks: DataFrame, queries: DataFrame, k: int, query_block: int =
     schema = _ids_schema(chunks, queries)
     if known.empty:
         return _keep_best(chunks.sparkSession.createDataFrame([], schema), k)
-    shared = chunks.sparkSession.sparkContext.broadcast(known)
+    shared = chunks.sparkSession.sparkContext.broadcast((known.drop(columns="vector"), _unit(known["vector"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield _best(batch, shared.value, k, filters)
+                yield _best(batch, *shared.value, k, filters)
 
     return _keep_best(rows.mapInPandas(scan, schema), k)
 
@@ -145,7 +150,7 @@ def _block_top(
     def best(row_group: pd.DataFrame, query_group: pd.DataFrame) -> pd.DataFrame:
         if row_group.empty or query_group.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        return _best(row_group, query_group, k, filters)
+        return _best(row_group, query_group, _unit(query_group["vector"]), k, filters)
 
     at = [*keys, "row_at", "query_at"]
     found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(best, schema)
