@@ -291,6 +291,20 @@ def boundary(t: Tables):
     return chunk_rows(chunking.chunk_documents(t.documents(), 1000))
 
 
+@register(
+    "c1_chunks_table_function",
+    chunk_sql(1000, 200, True),
+)
+def chunk_function(t: Tables):
+    """The walk called from SQL, once per document."""
+    chunking.register_chunks_function(t.spark)
+    t.documents().createOrReplaceTempView("documents_to_chunk")
+    return t.spark.sql(
+        """SELECT d.id AS document_id, c.chunk_index, c.start_char, c.end_char, c.end_char - c.start_char AS content_length,
+           md5(CAST(c.content AS BINARY)) AS content_md5 FROM documents_to_chunk d, LATERAL chunks(d.content, 1000) c"""
+    )
+
+
 def sql_sections(source: str) -> tuple[str, str]:
     start = f"left({source}, 2000)"
     numbers = [rf"(?i)§{RWS}*(\d+[a-z]?)", rf"(?i)paragraf{RWS}+(\d+[a-z]?)", rf"(?i)kapittel{RWS}+(\d+[a-z]?)",

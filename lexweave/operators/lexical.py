@@ -9,6 +9,7 @@ over all chunks and therefore over all tasks.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,11 @@ def build_postings(
     return postings.where(~F.col("token").isin(stop_words)) if stop_words else postings
 
 
+def language_stop_words(language: str = "norwegian") -> list[str]:
+    """The stop words Spark ships for a language, to be given to ``build_postings``."""
+    return StopWordsRemover.loadDefaultStopWords(language)
+
+
 def write_postings(postings: DataFrame, table: str, buckets: int, key: str = "id") -> None:
     """Save the index bucketed by chunk and sorted by word.
 

@@ -85,6 +85,13 @@ def test_stop_words_keep_positions(chunks):
     assert kept and all(TEXTS[row["id"]].split()[at] == "skatt" for row in kept for at in row["positions"])
 
 
+def test_language_stop_words(chunks):
+    words = lexical.language_stop_words()
+    assert {"og", "om", "av", "de"} <= set(words)
+    left = {row["token"] for row in lexical.build_postings(chunks, stop_words=words).select("token").distinct().collect()}
+    assert left == set(WORDS) - set(words)
+
+
 def test_short_prefixes(chunks, spark):
     queries = spark.createDataFrame([(1, "d sk"), (2, "de")], "query_id long, text string")
     postings = lexical.build_postings(chunks, positions=False)
