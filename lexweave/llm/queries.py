@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filter
+from . import line_dedup, media, packing, url_filter
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,24 @@ FROM parts LEFT JOIN fits USING (page_id)
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
+
+
+@register
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.to_media(read(spark, sf_dir, "documents"))
+    return media.read_media(stored, keep=("n_bytes",)).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.lower(F.hex("cosine_hash")).alias("feature"),
+    )
+
+
+@register
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
