@@ -31,6 +31,8 @@ CAPACITY = 1024
 # Lengths are rounded up to this many ids in the linear program, never in the result.
 GRAIN = 4
 END = 0
+# Share of sequences above the optimum of the linear program at which it stops.
+GAP = 0.001
 # Ranks of a length are counted in so many parts, so that a length of which there are many is no single task.
 PARTS = 64
 # Rows a task hands over at once.
@@ -127,8 +129,9 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[floa
 def cutting_stock(demand: dict[int, int], capacity: int, most_rounds: int = 4000) -> list[Pattern]:
     """Patterns that hold ``demand`` (pieces by size) in few sequences of ``capacity``.
 
-    Revised simplex over generated columns.  Where it stops early (``most_rounds``)
-    the patterns are still complete, only less tight.
+    Revised simplex over generated columns.  The best value of a column bounds how far
+    the program is from its optimum, and it stops within ``GAP``; whenever it stops,
+    the patterns hold everything.
     """
     sizes = np.array(sorted(size for size, count in demand.items() if count > 0), dtype=int)
     if not len(sizes):
@@ -140,9 +143,10 @@ def cutting_stock(demand: dict[int, int], capacity: int, most_rounds: int = 4000
     for at in range(most_rounds):
         prices = inverse.sum(axis=0)
         value, column = knapsack(sizes, np.maximum(prices, 0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + GAP:
             break
-        direction = inverse @ column
+        used = np.flatnonzero(column)
+        direction = (inverse[:, used] * column[used]).sum(axis=1)
         ratios = np.where(direction > 1e-9, solution / np.where(direction > 1e-9, direction, 1), np.inf)
         leaving = int(ratios.argmin())
         if not np.isfinite(ratios[leaving]):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, packing, url_filter
+from . import fingerprints, line_dedup, media, packing, url_filter
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,17 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@register
+def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+    return marked.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprints.digest(F.col("anchors")).alias("fingerprint"),
+        fingerprints.digest(F.col("edited_anchors")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        fingerprints.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
