@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, media, packing, url_filter
+from . import fingerprints, line_dedup, media, packing, url_filter, warc
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,24 @@ def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
         fingerprints.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
+
+
+@register
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(spark, files).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLES["op7_warc"] = f"""
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.MIN_BYTES} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.MIN_BYTES} AND page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
