@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, media, packing, url_filter, warc
+from . import fingerprints, line_dedup, media, packing, toxicity, url_filter, warc
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,11 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {warc.MIN_BYTES} AND page_id <> first THEN first END AS refers_to
 FROM firsts
 """
+
+
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    return toxicity.score(docs, labels).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
