@@ -37,6 +37,8 @@ MAGIC = b"\x1f\x8b\x08"
 MIN_BYTES = 100
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
+# Most tasks that ranges are dealt out to; beyond, a task reads several.
+MAX_TASKS = 20_000
 # Bytes of records a task hands over at once.
 SLICE_BYTES = 8 << 20
 
@@ -226,7 +228,9 @@ def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start")
     ranges = files.where("bytes > 0").select("path", "bytes", starts)
-    return ranges.repartition("path", "start").mapInPandas(scan, FOUND)
+    # A named number of partitions: Spark would merge rows as small as these into one task.
+    tasks = max(1, min(MAX_TASKS, ranges.count()))
+    return ranges.repartition(tasks, "path", "start").mapInPandas(scan, FOUND)
 
 
 def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
