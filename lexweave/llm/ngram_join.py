@@ -17,7 +17,8 @@ product, as they cannot change it.
 Nulls and edge cases: null and empty texts, and texts without words, have no
 shingles and link with nothing.  Fewer words than a shingle has are one shingle.  Texts with equal sets are
 one row of the matrix.  Rows that share an id stay separate rows with their own size, and one component.
-An empty table gives an empty result.
+Rows with a null id link with nothing
+and have a null component.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
                     if not len(grams):
                         yield doc_id, 0, None, None
                         continue
-                    node = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+                    node = _node(grams)
                     fresh = node not in seen
                     seen.add(node)
                     yield doc_id, len(grams), node, block_keys(grams, settings).view(np.int64) if fresh else None
@@ -169,37 +170,55 @@ def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
     return source.mapInPandas(sign, "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
-    """``(node, grams)`` of the documents ``chosen`` (``doc_id``, ``node``).
+def _node(grams: np.ndarray) -> int:
+    """The name of a set."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
-    The ids are broadcast if counted to be few, else joined by a shuffle.
+
+def _sets(docs: DataFrame, chosen: DataFrame, settings: Settings, node: str) -> DataFrame:
+    """``chosen`` (``doc_id`` and other numbers) with ``grams`` in place of the id; its column ``node`` names the set.
+
+    The ids are broadcast if counted to be few, else joined by a shuffle.  A set is computed once for
+    rows of one document that follow each other.
     """
+    names = [name for name in chosen.columns if name != "doc_id"]
+    at = names.index(node)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Hashes()
 
         def rows():
+            last, grams, name = None, None, None
             for batch in batches:
-                for node, text in zip(batch["node"], batch["text"], strict=True):
-                    yield node, shingles(text, settings.words, cache).view(np.int64)
-
-        yield from _flushed(rows(), ["node", "grams"])
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.join(small_side(chosen), "doc_id").select("node", "text").mapInPandas(hashed, "node bigint, grams array<bigint>")
+                for doc_id, text, *others in batch.itertuples(index=False, name=None):
+                    if (doc_id, text) != last:
+                        last, grams = (doc_id, text), shingles(text, settings.words, cache).view(np.int64)
+                        name = _node(grams)
+                    if others[at] == name:  # else another row with this id
+                        yield *others, grams
+
+        yield from _flushed(rows(), [*names, "grams"])
+
+    schema = ", ".join(f"{name} bigint" for name in names)
+    return (
+        docs.join(small_side(chosen), "doc_id").select("doc_id", "text", *names)
+        .mapInPandas(hashed, f"{schema}, grams array<bigint>")
+    )
 
 
 def multiply(docs: DataFrame, pairs: DataFrame, owners: DataFrame, settings: Settings) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) of nodes that link: their rows of the matrix multiplied in full."""
-    sides = {}
-    for side in ("a", "b"):
-        nodes = pairs.select(F.col(side).alias("node")).distinct()
-        chosen = materialize(owners.join(nodes, "node").select("doc_id", "node"), f"chosen-{side}")
-        sides[side] = _sets(docs, chosen, settings).select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}"))
-    joined = pairs.join(sides["b"], "b").join(sides["a"], "a")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
+    """The ``pairs`` (``a``, ``b``) of nodes that link: their rows of the matrix multiplied in full.
+
+    The row of ``b`` travels once per pair, that of ``a`` once; a node ``a`` with very many partners is split by
+    Spark's skew join.
+    """
+    right = materialize(pairs.join(owners.select(F.col("node").alias("b"), "doc_id"), "b").select("doc_id", "a", "b"), "chosen")
+    nodes = pairs.select(F.col("a").alias("node")).distinct()
+    left = materialize(owners.join(nodes, "node").select("doc_id", F.col("node").alias("a")), "chosen")
+    joined = _sets(docs, right, settings, "b").join(_sets(docs, left, settings, "a").withColumnRenamed("grams", "grams_a"), "a")
     counted = joined.select(
-        "a", "b", common.alias("common"), (F.size("grams_a") + F.size("grams_b")).alias("total")
+        "a", "b", F.size(F.array_intersect("grams", "grams_a")).alias("common"),
+        (F.size("grams") + F.size("grams_a")).alias("total"),
     )
     return counted.where(100 * F.col("common") >= settings.percent * (F.col("total") - F.col("common"))).select("a", "b")
 
@@ -209,16 +228,21 @@ def near_duplicates(
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row; the component is named by its smallest id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    table = materialize(signed(docs, settings), "signed")
-    rows = table.select("doc_id", "n_shingles", "node")
-    owners = rows.where("node is not null").groupBy("node").agg(
+    table = materialize(signed(docs, settings).withColumn("row", F.monotonically_increasing_id()), "signed")
+    rows = materialize(table.select("row", "doc_id", "n_shingles", "node"), "sizes")
+    owners = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")
-    ).where("doc_id is not null")
-    entries = table.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    shared = (
-        entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     )
-    members = materialize(entries.join(shared, "key").distinct(), "members")
+    # Row numbers stand for nodes here, since they shrink better; a key that occurs once is no candidate.
+    entries = table.where("doc_id is not null").select("row", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    found = entries.join(shared, "key").join(rows.select("row", "node"), "row")
+    found = materialize(found.select("key", "node").distinct(), "found")
+    discard(table)
+    hubs = found.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    hubs = hubs.where("hub <> last").select("key", "hub")
+    members = materialize(found.join(hubs, "key"), "members")
+    discard(found)
 
     stars = materialize(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     first = materialize(multiply(docs, stars, owners, settings), "links")
@@ -244,7 +268,7 @@ def near_duplicates(
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(smallest, "label", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
     )
 
 
