@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, media, ngram_join, packing, quality, toxicity, url_filter, warc
+from . import fingerprints, line_dedup, media, ngram_join, packing, quality, sentencepiece, toxicity, url_filter, warc
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs).select("doc_id", F.round("quality", 6).alias("quality"), "keep")
+
+
+@register
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = sentencepiece.decode(coded)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.lower(F.hex(F.xxhash64("ids"))).alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
