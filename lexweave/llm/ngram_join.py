@@ -7,12 +7,12 @@ block is equal in both: pairs without an equal block are below the bound and are
 multiplied.  Sizes are cut into overlapping ranges, so that sets which can link at all share a
 range and its number of blocks.
 
-The pairs that are left are multiplied in two passes.  First every set with the smallest
-of those that share a block with it: this joins nearly all that belongs together, without pairs
-among copies.  Then, for blocks whose sets are still in different components, across
-these components: the number of equal blocks is accumulated per pair, pairs below the bound of their own sizes are
-discarded, and the rest is multiplied.  Pairs within a component need no
-product, as they cannot change it.
+Sets that share fewer blocks with all others together than the bound of their size asks for
+are left out, and of the blocks of a set as many of the most frequent as it could do without.
+What still shares a block forms clusters.  The rows of a cluster are multiplied in
+the tasks, a bounded block of rows with another, over the columns both have: overlaps are
+accumulated, pairs below the bound of their sizes are discarded, and a task hands over only as many links
+as join what it found linked.  Pairs are never rows of a table.
 
 Nulls and edge cases: null and empty texts, and texts without words, have no
 shingles and link with nothing.  Fewer words than a shingle has are one shingle.  Texts with equal sets are
@@ -30,13 +30,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side
 from .common import discard, materialize
 from .components import components
 
+# Sets of one block of rows, and columns multiplied at once.
+BLOCK = 256
+COLUMNS = 4096
 # Words whose hashes a task remembers, and hashes it hands over at once.
 CACHED_WORDS = 1 << 20
 SLICE_HASHES = 1 << 20
@@ -100,10 +103,24 @@ def most_different(total: int, settings: Settings) -> int:
     return (100 - settings.percent) * total // (100 + settings.percent)
 
 
+def empty_blocks(differ: int) -> int:
+    """Empty blocks a set may have without giving their keys."""
+    return 2 + differ // 64
+
+
 def block_count(largest: int, settings: Settings) -> int:
-    """Blocks of a range: more than may differ, and some to spare for empty ones."""
+    """Blocks of a range: more than may differ, so that sets which link share a good number."""
     differ = most_different(2 * largest, settings)
-    return differ + 3 + differ // 64
+    return differ + 3 + differ // 12
+
+
+def least_equal(size: int, settings: Settings) -> int:
+    """The fewest keys a set of a size shares with any set it links with."""
+    found = []
+    for _, largest in size_ranges(size, settings):
+        differ, partner = most_different(2 * largest, settings), min(largest, 100 * size // settings.percent)
+        found.append(block_count(largest, settings) - most_different(size + partner, settings) - empty_blocks(differ))
+    return min(found)
 
 
 def block_keys(grams: np.ndarray, settings: Settings) -> np.ndarray:
@@ -123,7 +140,7 @@ def block_keys(grams: np.ndarray, settings: Settings) -> np.ndarray:
         sums = np.add.reduceat(_mixed(grams), starts)
         names = block[starts]
         empty = np.setdiff1d(np.arange(count, dtype=np.uint64), names)
-        if len(empty) >= count - differ:
+        if len(empty) > empty_blocks(differ):
             names, sums = np.append(names, empty), np.append(sums, np.zeros(len(empty), np.uint64))
         keys.append(_mixed(_mixed(sums * _ODD + names) + np.uint64(g + 1)))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
@@ -142,7 +159,9 @@ def _flushed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame
 
 
 def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, node, keys)``: ``node`` is the hash of the set, null if it is empty.
+    """``(doc_id, n_shingles, node, least, keys)``: ``node`` is the hash of the set, null if it is empty.
+
+    ``least`` is the number of keys it shares with any set it links with.
 
     A task gives the keys of equal sets once.
     """
@@ -155,19 +174,19 @@ def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                     grams = shingles(text, settings.words, cache)
                     if not len(grams):
-                        yield doc_id, 0, None, None
+                        yield doc_id, 0, None, 0, None
                         continue
                     node = _node(grams)
                     fresh = node not in seen
                     seen.add(node)
-                    yield doc_id, len(grams), node, block_keys(grams, settings).view(np.int64) if fresh else None
+                    yield doc_id, len(grams), node, least_equal(len(grams), settings), block_keys(grams, settings).view(np.int64) if fresh else None
 
-        columns = ["doc_id", "n_shingles", "node", "keys"]
+        columns = ["doc_id", "n_shingles", "node", "least", "keys"]
         for part in _flushed(rows(), columns):
             yield part.astype({"doc_id": "Int64", "node": "Int64"})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return source.mapInPandas(sign, "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>")
+    return source.mapInPandas(sign, "doc_id bigint, n_shingles bigint, node bigint, least bigint, keys array<bigint>")
 
 
 def _node(grams: np.ndarray) -> int:
@@ -206,32 +225,118 @@ def _sets(docs: DataFrame, chosen: DataFrame, settings: Settings, node: str) ->
     )
 
 
-def multiply(docs: DataFrame, pairs: DataFrame, owners: DataFrame, settings: Settings) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) of nodes that link: their rows of the matrix multiplied in full.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The product of two blocks of rows: how many shingles each set of ``left`` shares with each of ``right``.
 
-    The row of ``b`` travels once per pair, that of ``a`` once; a node ``a`` with very many partners is split by
-    Spark's skew join.
+    Only columns that both blocks have are multiplied, ``COLUMNS`` at a time, and the counts add up.
+    """
+    found = [np.concatenate(side) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), [len(item) for item in side]) for side in (left, right)]
+    columns = np.intersect1d(np.unique(found[0]), np.unique(found[1]), assume_unique=True)
+    counts = np.zeros((len(left), len(right)), np.float32)
+    if not len(columns):
+        return counts
+    entries = []
+    for values, row in zip(found, rows, strict=True):
+        at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+        hit = columns[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        entries.append((at[hit][order], row[hit][order]))
+    for first in range(0, len(columns), COLUMNS):
+        width, dense = min(COLUMNS, len(columns) - first), []
+        for (at, row), side in zip(entries, (left, right), strict=True):
+            begin, end = np.searchsorted(at, [first, first + width])
+            block = np.zeros((len(side), width), np.float32)
+            block[row[begin:end], at[begin:end] - first] = 1
+            dense.append(block)
+        counts += dense[0] @ dense[1].T
+    return counts
+
+
+def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """As many of ``pairs`` as join what they all join."""
+    parent: dict[int, int] = {}
+
+    def root(at: int) -> int:
+        while parent.setdefault(at, at) != at:
+            parent[at] = at = parent[parent[at]]
+        return at
+
+    kept = []
+    for a, b in pairs.tolist():
+        low, high = root(a), root(b)
+        if low != high:
+            parent[high] = low
+            kept.append((a, b))
+    return kept
+
+
+def block_pairs(placed: DataFrame, settings: Settings, block: int) -> DataFrame:
+    """``placed`` (``doc_id``, ``node``, ``size``, ``label``), once per pair of blocks it takes part in.
+
+    A cluster (``label``) of up to ``block`` sets is one block.  A larger one is cut by classes of size, so
+    that only equal and neighbouring classes can link, and these by hash into blocks.
     """
-    right = materialize(pairs.join(owners.select(F.col("node").alias("b"), "doc_id"), "b").select("doc_id", "a", "b"), "chosen")
-    nodes = pairs.select(F.col("a").alias("node")).distinct()
-    left = materialize(owners.join(nodes, "node").select("doc_id", F.col("node").alias("a")), "chosen")
-    joined = _sets(docs, right, settings, "b").join(_sets(docs, left, settings, "a").withColumnRenamed("grams", "grams_a"), "a")
-    counted = joined.select(
-        "a", "b", F.size(F.array_intersect("grams", "grams_a")).alias("common"),
-        (F.size("grams") + F.size("grams_a")).alias("total"),
+    ratio = math.log(100 / settings.percent)
+    totals = placed.groupBy("label").agg(F.count("*").alias("total"))
+    classed = placed.join(totals, "label").withColumn(
+        "c", F.when(F.col("total") <= block, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / ratio + 1e-9)).cast("int")
     )
-    return counted.where(100 * F.col("common") >= settings.percent * (F.col("total") - F.col("common"))).select("a", "b")
+    counts = classed.groupBy("label", "c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    above = counts.select("label", (F.col("c") - 1).alias("c"), F.col("blocks").alias("above"))
+    below = counts.select("label", (F.col("c") + 1).alias("c"), F.col("blocks").alias("below"))
+    counts = counts.join(above, ["label", "c"], "left").join(below, ["label", "c"], "left")
+    cut = classed.join(counts, ["label", "c"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def places(count: Column, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.coalesce(count, F.lit(0)) - 1), make)
+
+    def place(c: Column, i: Column, step: int, j: Column, right: Column) -> Column:
+        return F.struct(
+            c.alias("c"), i.alias("i"), F.lit(step).alias("step"), j.alias("j"), right.cast("int").alias("right")
+        )
+
+    c, sub = F.col("c"), F.col("sub")
+    none = F.array().cast("array<struct<c:int,i:int,step:int,j:int,right:int>>")
+    own = places(F.col("blocks"), lambda j: place(c, F.least(sub, j), 0, F.greatest(sub, j), sub > j))
+    up = F.when(F.col("above").isNull(), none).otherwise(places(F.col("above"), lambda j: place(c, sub, 1, j, F.lit(0))))
+    down = F.when(F.col("below").isNull(), none).otherwise(places(F.col("below"), lambda i: place(c - 1, i, 1, sub, F.lit(1))))
+    return cut.select("doc_id", "node", "label", F.inline(F.concat(own, up, down)))
+
+
+def multiply(docs: DataFrame, placed: DataFrame, settings: Settings, block: int) -> DataFrame:
+    """Links (``a``, ``b``) that join all sets of ``placed`` which links join, from products of blocks in the tasks."""
+    percent = settings.percent
+
+    def product(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [frame[frame["right"] == side] for side in (0, 1)]
+        if sides[1].empty:
+            sides[1] = sides[0]
+        if sides[0].empty:
+            return pd.DataFrame({"a": [], "b": []})
+        counts = overlaps(sides[0]["grams"].tolist(), sides[1]["grams"].tolist())
+        sizes = [side["grams"].str.len().to_numpy(dtype=np.float64) for side in sides]
+        total = sizes[0][:, None] + sizes[1][None, :]
+        found = np.argwhere(100 * counts >= percent * (total - counts))
+        names = [side["node"].to_numpy() for side in sides]
+        pairs = np.stack([names[0][found[:, 0]], names[1][found[:, 1]]], axis=1)
+        return pd.DataFrame(_forest(pairs[pairs[:, 0] != pairs[:, 1]]), columns=["a", "b"])
+
+    chosen = materialize(block_pairs(placed, settings, block), "blocks")
+    sets = _sets(docs, chosen, settings, "node")
+    return sets.groupBy("label", "c", "i", "step", "j").applyInPandas(product, "a bigint, b bigint")
 
 
 def near_duplicates(
-    docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text"  # noqa: B008
+    docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text",  # noqa: B008
+    block: int = BLOCK,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row; the component is named by its smallest id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     table = materialize(signed(docs, settings).withColumn("row", F.monotonically_increasing_id()), "signed")
-    rows = materialize(table.select("row", "doc_id", "n_shingles", "node"), "sizes")
+    rows = materialize(table.drop("keys"), "sizes")
     owners = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("least").alias("least")
     )
     # Row numbers stand for nodes here, since they shrink better; a key that occurs once is no candidate.
     entries = table.where("doc_id is not null").select("row", F.explode("keys").alias("key"))
@@ -239,52 +344,36 @@ def near_duplicates(
     found = entries.join(shared, "key").join(rows.select("row", "node"), "row")
     found = materialize(found.select("key", "node").distinct(), "found")
     discard(table)
-    hubs = found.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    hubs = hubs.where("hub <> last").select("key", "hub")
-    members = materialize(found.join(hubs, "key"), "members")
+    members = _rarest(_pruned(_pruned(found, owners), owners), owners)
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    near = members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    clusters = components(near)
     discard(found)
-
-    stars = materialize(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    first = materialize(multiply(docs, stars, owners, settings), "links")
-    labels = components(first)
-
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = materialize(placed.select("key", "node", "label"), "placed")
-    discard(members)
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    sized = placed.join(open_keys, "key").join(owners.select("node", "size"), "node")
-    a = sized.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"))
-    b = sized.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"))
-    close = (F.least("size_a", "size_b") * 100 >= settings.percent * F.greatest("size_a", "size_b"))
-    across = a.join(b, "key").where((F.col("label_a") < F.col("label_b")) & close)
-    equal = across.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("equal"))
-    enough = materialize(_enough(equal, settings).select("a", "b"), "across")
-    untested = enough.join(stars, (
-        (F.least(enough.a, enough.b) == F.least(stars.a, stars.b)) & (F.greatest(enough.a, enough.b) == F.greatest(stars.a, stars.b))
-    ), "left_anti")
-    second = multiply(docs, materialize(untested, "untested"), owners, settings)
-    labels = components(first.unionByName(second))
+    placed = clusters.join(owners, "node").select("doc_id", "node", "size", "label")
+    labels = components(multiply(docs, placed, settings, block))
 
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))
     return named.join(smallest, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id")).alias("component_id")
     )
 
 
-def _enough(equal: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs with as many equal blocks as the bound of their own sizes asks for.
+def _pruned(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """``found`` without sets that share too few keys to link with any, and then without keys of one set."""
+    counted = found.groupBy("node").agg(F.count("*").alias("n")).join(owners.select("node", "least"), "node")
+    kept = found.join(counted.where("n >= least").select("node"), "node")
+    several = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return kept.join(several, "key").select("key", "node")
+
+
+def _rarest(members: DataFrame, owners: DataFrame) -> DataFrame:
+    """``members`` without the ``least - 1`` most frequent keys of each set.
 
-    Of ``count`` blocks of a range at most ``d`` differ, for the sizes at hand; the others are equal.  Empty
-    blocks have keys only in sets with many of them, so as many as a set may have
-    without giving their keys are allowed for.
+    Two sets that link share ``least`` keys of either, so in one order of all keys one of those that
+    are left is still common to them.
     """
-    growth = math.log(settings.growth)
-    # The range of the smaller set, which the larger one is in as well.
-    g = F.floor(F.log(F.least("size_a", "size_b").cast("double")) / growth + 1e-9)
-    largest = F.floor(F.pow(F.lit(settings.growth), g + 1) / (settings.percent / 100))
-    differ_most = F.floor((100 - settings.percent) * 2 * largest / (100 + settings.percent))
-    count = differ_most + 3 + F.floor(differ_most / 64)
-    differ = F.floor((100 - settings.percent) * (F.col("size_a") + F.col("size_b")) / (100 + settings.percent))
-    spare = count - differ_most - 1
-    return equal.where(F.col("equal") >= count - differ - spare)
+    frequent = members.groupBy("key").agg(F.count("*").alias("n"))
+    counted = members.join(frequent, "key").join(owners.select("node", "least"), "node")
+    order = Window.partitionBy("node").orderBy(F.desc("n"), "key")
+    return counted.withColumn("at", F.row_number().over(order)).where("at >= least").select("key", "node")
