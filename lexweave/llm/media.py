@@ -150,10 +150,10 @@ def _sliced(rows: Iterator[tuple], columns: list[str], weight: int) -> Iterator[
         held.append(row)
         size += len(row[weight] or b"")
         if size >= SLICE_BYTES:
-            yield pd.DataFrame(held, columns=columns)
+            yield pd.DataFrame(held, columns=columns, dtype=object)
             held, size = [], 0
     if held:
-        yield pd.DataFrame(held, columns=columns)
+        yield pd.DataFrame(held, columns=columns, dtype=object)
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

@@ -147,15 +147,16 @@ def block_keys(grams: np.ndarray, settings: Settings) -> np.ndarray:
 
 
 def _flushed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    # As objects: a missing number would turn its whole column into floats, which cannot hold hashes.
     held, weight = [], 0
     for row in rows:
         held.append(row)
         weight += 64 if row[-1] is None else 64 + len(row[-1])
         if weight >= SLICE_HASHES:
-            yield pd.DataFrame(held, columns=columns)
+            yield pd.DataFrame(held, columns=columns, dtype=object)
             held, weight = [], 0
     if held:
-        yield pd.DataFrame(held, columns=columns)
+        yield pd.DataFrame(held, columns=columns, dtype=object)
 
 
 def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -85,10 +85,10 @@ def pieces(
                     row = (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids))
                     held.append((*row, part.astype(np.int32)) if with_ids else row)
                 if len(held) >= SLICE:
-                    yield pd.DataFrame(held, columns=columns)
+                    yield pd.DataFrame(held, columns=columns, dtype=object)
                     held = []
         if held:
-            yield pd.DataFrame(held, columns=columns)
+            yield pd.DataFrame(held, columns=columns, dtype=object)
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -221,10 +221,10 @@ def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
                         weight += len(member[0])
                         at = member[1]
                         if weight >= SLICE_BYTES:
-                            yield pd.DataFrame(held, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield pd.DataFrame(held, columns=columns, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
                             held, weight = [], 0
         if held:
-            yield pd.DataFrame(held, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(held, columns=columns, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start")
     ranges = files.where("bytes > 0").select("path", "bytes", starts)
