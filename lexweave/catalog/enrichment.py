@@ -123,9 +123,10 @@ def law_type(tables: Tables):
     return titled.select("doc_id", rules.classify_law_type("title", "raw").alias("law_type"))
 
 
-# Words of the given texts by language, to run the rule engine on the whole texts.
+# Words of the given texts by language, to run the rule engine on the whole texts; with capitals, and phrases that overlap.
 LANGUAGE_RULES = [
-    ("English", ["with", "from", "this"]),
+    ("English of the", ["of the"]),
+    ("English", ["With", "From", "the and", "in of", "This"]),
     ("French", ["avec", "dans", "pour"]),
     ("German", ["nicht", "sich", "auch"]),
     ("Spanish", ["para", "como", "los"]),
@@ -138,7 +139,7 @@ LANGUAGE_RULES = [
 )
 def custom_rules(tables: Tables):
     return tables.read("documents").select(
-        "doc_id", rules.first_rule("text", LANGUAGE_RULES).alias("law_type")
+        "doc_id", rules.first_rule_of_long_text("text", LANGUAGE_RULES).alias("law_type")
     )
 
 

@@ -156,7 +156,7 @@ def content(t: Tables):
 @register("k7_reconcile_first", f"WITH {COPY_SQL} SELECT id, archive_filename, member, reason FROM compared ORDER BY id LIMIT 10")
 def first_contents(t: Tables):
     """The spot check of the first documents, which is the operator's default."""
-    return quality.reconcile_content(t.documents(), copied(t))
+    return quality.reconcile_content(t.documents(), copied(t), first=10)
 
 
 FILES_SQL = """archives AS (SELECT DISTINCT source AS filename FROM documents),

@@ -95,8 +95,8 @@ def corpus_stats(chunks: DataFrame, postings: DataFrame) -> DataFrame:
 def resolve_terms(plan: DataFrame, postings: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """``(term_id, term, mode, token, df)``: the index words each distinct term of the plan stands for.
 
-    Terms of three and more letters meet the dictionary by an equi-join on the
-    first three; shorter prefixes by an equi-join on their own length.  Terms
+    Exact terms of any length meet the dictionary by equality, prefixes of three
+    and more letters by an equi-join on the first three, shorter ones on their own length.  Terms
     and result are small and read several times by the matching, so they are
     written once to the shared folder; that also fixes the numbers.
     """
@@ -106,12 +106,12 @@ def resolve_terms(plan: DataFrame, postings: DataFrame, dictionary: DataFrame |
     is_short = (F.length("term") < 3) & (F.col("mode") == PREFIX)
     n_terms, n_short = terms.agg(F.count("*"), F.count_if(is_short)).first()
     hint = F.broadcast if n_terms <= BROADCAST_ROWS else lambda side: side
-    long_terms = terms.where(F.length("term") >= 3).withColumn("prefix3", F.substring("term", 1, 3))
-    fits = ((F.col("mode") == EXACT) & (F.col("token") == F.col("term"))) | (
-        (F.col("mode") == PREFIX) & F.col("token").startswith(F.col("term"))
-    )
     columns = ["term_id", "term", "mode", "token", "df"]
-    resolved = dictionary.join(hint(long_terms), "prefix3").where(fits).select(*columns)
+    exact = terms.where(F.col("mode") == EXACT)
+    resolved = dictionary.join(hint(exact), F.col("token") == F.col("term")).select(*columns)
+    long_prefixes = terms.where((F.col("mode") == PREFIX) & ~is_short).withColumn("prefix3", F.substring("term", 1, 3))
+    found = dictionary.join(hint(long_prefixes), "prefix3").where(F.col("token").startswith(F.col("term")))
+    resolved = resolved.unionByName(found.select(*columns))
     for length in (1, 2) if n_short else ():
         short = terms.where(is_short & (F.length("term") == length)).withColumnRenamed("term", "start")
         found = dictionary.withColumn("start", F.substring("token", 1, length)).join(hint(short), "start")

@@ -93,10 +93,10 @@ def reconcile_totals(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def reconcile_content(left: DataFrame, right: DataFrame, first: int | None = 10) -> DataFrame:
+def reconcile_content(left: DataFrame, right: DataFrame, first: int | None = None) -> DataFrame:
     """``(id, archive_filename, member, reason)``; the reason is null when the rows agree.
 
-    Compares the ``first`` documents by id, or all with ``None``.  Contents are
+    Compares all documents, or the ``first`` by id.  Contents are
     compared by a hash of the text with its white space normalised, so the join
     moves no texts.
     """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -35,14 +38,16 @@ def get_session(app_name: str = "lexweave", master: str | None = None, **conf) -
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster shares between its machines.
 
-    The folder is read from ``spark.checkpoint.dir``.  Only a local session may
-    go without it and gets a temporary folder, since there every task sees it.
+    The folder is read from ``spark.checkpoint.dir``.  Only a session whose tasks all run
+    in this process may go without it; it gets a temporary folder, which is removed
+    when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="lexweave-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -111,3 +111,19 @@ def test_viewer_url(column):
     assert column(given, "f string, m string", links.viewer_url("f", "m", "https://v/")) == [
         "https://v/api/documents/xml?filename=a+b.zip&member=x%2F%C3%A5.html", None, None,
     ]
+
+
+def test_custom_rules_with_capitals_and_overlaps(column):
+    capitals = [("S", ["Statute"])]
+    assert column(["see the Statute here", "STATUTE", "statutes"], "t string", rules.first_rule_of_long_text("t", capitals)) == [
+        "S", "S", None,
+    ]
+    overlapping = [("B", ["two three"]), ("A", ["one two"])]
+    assert not rules.stand_apart(overlapping)
+    given = ["one two three", "one two", "two three"]
+    assert column(given, "t string", rules.first_rule_of_long_text("t", overlapping)) == ["B", "A", "B"]
+    nested = [("long", ["one two"]), ("short", ["two"]), ("other", ["one"])]
+    given = ["one two", "two one", "one"]
+    for listed in (nested, nested[::-1]):
+        found = column(given, "t string", rules.first_rule_of_long_text("t", listed))
+        assert found == column(given, "t string", rules.first_rule("t", listed))

@@ -106,6 +106,15 @@ def test_short_prefixes(chunks, spark):
     assert pairs(lexical.match_terms(postings, plan, terms)) == expected
 
 
+def test_short_exact_terms(spark):
+    chunks = spark.createDataFrame([(1, "se nr.4 om lov"), (2, "se nr.5 om lov")], "id long, content string")
+    queries = spark.createDataFrame([(1, "nr.4 lov")], "query_id long, text string")
+    postings = lexical.build_postings(chunks)
+    for mode in ("split", "robust"):
+        plan = query.build_match_plan(queries, mode)
+        assert pairs(lexical.match_terms(postings, plan, lexical.resolve_terms(plan, postings))) == {(1, 1)}
+
+
 def test_long_queries(spark):
     words = [f"word{at:03d}" for at in range(200)]
     chunks = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1]))], "id long, content string")

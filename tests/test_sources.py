@@ -109,6 +109,17 @@ def test_write_documents_replaces_only_its_archives(spark, tmp_path):
     assert sorted((row["id"], row["title"]) for row in spark.read.parquet(path).collect()) == [(3, "old"), (4, "new")]
 
 
+def test_an_archive_without_documents_is_emptied(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    old = documents(spark, [(1, "a b=c", "x", "old"), (2, "kept", "x", "old")])
+    tables.write_documents(old, path)
+    replaced = spark.createDataFrame([("a b=c",), ("new",)], "archive_filename string")
+    incoming = documents(spark, [(3, "new", "x", "new")])
+    tables.write_documents(incoming, path, replaced)
+    assert sorted(row["id"] for row in spark.read.parquet(path).collect()) == [2, 3]
+    assert sorted(row["id"] for row in tables.replace_documents(old, incoming, replaced).collect()) == [2, 3]
+
+
 def test_upsert(spark):
     old = documents(spark, [(1, "a", "x", "old"), (2, "a", "y", "old")])
     new = documents(spark, [(3, "a", "x", "1"), (4, "a", "x", "2"), (5, "b", "x", "3")])
