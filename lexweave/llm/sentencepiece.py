@@ -37,6 +37,8 @@ from .common import materialize
 SPACE = "▁"
 _UNIT = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 UNKNOWN_PENALTY = 10.0
+# How an edge is packed into a long: its length and its id take so many bits, the place the rest.
+LENGTH_BITS, ID_BITS = 8, 22
 # A table of segmented units up to this size is read whole by every Python worker.
 MAX_DICTIONARY_BYTES = 256 << 20
 # Units whose place a task remembers, and ids it hands over at once.
@@ -79,72 +81,109 @@ def _bytes_ids(char: Column, first_byte: int) -> Column:
     )
 
 
-def lattice(words: DataFrame, table: DataFrame, first_byte: int) -> DataFrame:
-    """``(unit, start, stop, score, ids)``: every piece that is a substring of a unit, and bytes where no piece of one character is.
+def lattice(words: DataFrame, table: DataFrame) -> DataFrame:
+    """``(unit, edge)``: every piece that is a substring of a unit, and every character without a piece of its own.
 
-    ``table`` is broadcast: it has as many rows as the vocabulary file.
+    An edge is one number: where it stops, its length (``LENGTH_BITS``) and its id (``ID_BITS``),
+    0 without a piece.  ``table`` is broadcast: it has as many rows as the vocabulary file.
     """
-    longest, least = table.agg(F.max(F.char_length("piece")), F.min("score")).first()
+    longest = table.agg(F.max(F.char_length("piece"))).first()[0]
+    if longest >= 1 << LENGTH_BITS:
+        raise ValueError(f"pieces of {longest} characters")
     size = F.char_length("unit")
     starts = F.explode(F.sequence(F.lit(0), size - 1)).alias("start")
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("length")
     spans = words.select("unit", starts).select("unit", "start", lengths)
     spans = spans.withColumn("span", F.substr("unit", F.col("start") + 1, F.col("length")))
-    joined = spans.join(F.broadcast(table), F.col("span") == F.col("piece"), "left")
-    known = joined.where(F.col("id").isNotNull() | (F.col("length") == 1))
-    return known.select(
-        "unit",
-        "start",
-        (F.col("start") + F.col("length")).alias("stop"),
-        F.coalesce("score", F.lit(least - UNKNOWN_PENALTY)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_bytes_ids(F.col("span"), first_byte)).alias("ids"),
-    )
+    joined = spans.join(F.broadcast(table.select("piece", "id")), F.col("span") == F.col("piece"), "left")
+    stop = (F.col("start") + F.col("length")).cast("long")
+    place = F.shiftleft(stop, LENGTH_BITS) + F.col("length")
+    edge = F.shiftleft(place, ID_BITS) + F.coalesce("id", F.lit(0))
+    return joined.where(F.col("id").isNotNull() | (F.col("length") == 1)).select("unit", edge.alias("edge"))
 
 
-def best_path(steps: Column) -> Column:
-    """The ids of the best path; ``steps`` has, per place from 1 on, the edges that stop there."""
-    start = F.struct(
-        F.array(F.lit(0.0)).alias("scores"),
-        F.array().cast("array<struct<start:int,ids:array<int>>>").alias("back"),
-    )
+def _stop(edge: Column) -> Column:
+    return F.shiftright(edge, LENGTH_BITS + ID_BITS).cast("int")
 
-    def step(state: Column, edges: Column) -> Column:
-        best = F.array_max(
-            F.transform(
-                edges,
-                lambda e: F.struct(
-                    (F.get(state["scores"], e["start"]) + e["score"]).alias("total"),
-                    (-e["start"]).alias("before"), e["ids"].alias("ids"),
-                ),
-            )
-        )
-        once = F.array(best)
-        return F.struct(
-            F.concat(state["scores"], F.transform(once, lambda b: b["total"])).alias("scores"),
-            F.concat(
-                state["back"], F.transform(once, lambda b: F.struct((-b["before"]).alias("start"), b["ids"].alias("ids")))
-            ).alias("back"),
-        )
 
-    def walk(back: Column) -> Column:
-        begin = F.struct(F.size(back).alias("at"), F.array().cast("array<int>").alias("ids"))
+def _length(edge: Column) -> Column:
+    return F.shiftright(edge, ID_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
+
 
-        def move(state: Column, _: Column) -> Column:
-            edge = F.get(back, state["at"] - 1)
-            moved = F.struct(edge["start"].alias("at"), F.concat(edge["ids"], state["ids"]).alias("ids"))
-            return F.when(state["at"] > 0, moved).otherwise(state)
+def _id(edge: Column) -> Column:
+    return edge.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
 
-        return F.aggregate(back, begin, move, lambda state: state["ids"])
 
-    return F.aggregate(steps, start, step, lambda state: F.get(F.transform(F.array(state["back"]), walk), F.lit(0)))
+def best_path(edges: Column, scores: Column) -> Column:
+    """The edges of the path with the best sum of ``scores`` (by id), in order; ``edges`` are sorted.
+
+    A step of the fold takes one edge; where the place changes, the best that stopped at the last one is
+    kept.  The second fold walks back.
+    """
+
+    def step(state: Column, edge: Column) -> Column:
+        moved = _stop(edge) != state["stop"]
+
+        def taken(before: Column) -> Column:
+            total = F.get(before["best"], _stop(edge) - _length(edge)) + F.get(scores, _id(edge))
+            # Edges of one place come by length, so of equal sums the longer piece stays.
+            better = moved | (total >= state["total"])
+            return F.struct(
+                before["best"].alias("best"), before["back"].alias("back"), _stop(edge).alias("stop"),
+                F.when(better, total).otherwise(state["total"]).alias("total"),
+                F.when(better, edge).otherwise(state["edge"]).alias("edge"),
+            )
+
+        before = F.when(
+            moved,
+            F.struct(
+                F.concat(state["best"], F.array(state["total"])).alias("best"),
+                F.concat(state["back"], F.array(state["edge"])).alias("back"),
+            ),
+        ).otherwise(F.struct(state["best"].alias("best"), state["back"].alias("back")))
+        return F.get(F.transform(F.array(before), taken), F.lit(0))
+
+    def walk(state: Column) -> Column:
+        back = F.concat(state["back"], F.array(state["edge"]))
+        begin = F.struct(state["stop"].alias("at"), F.array().cast("array<bigint>").alias("path"))
+
+        def move(found: Column, _: Column) -> Column:
+            edge = F.get(state_back, found["at"])
+            return F.when(
+                found["at"] > 0,
+                F.struct((found["at"] - _length(edge)).alias("at"), F.concat(F.array(edge), found["path"]).alias("path")),
+            ).otherwise(found)
+
+        state_back = back
+        return F.aggregate(state["back"], begin, move, lambda found: found["path"])
+
+    none = F.array().cast("array<double>")
+    begin = F.struct(
+        none.alias("best"), F.array().cast("array<bigint>").alias("back"), F.lit(0).alias("stop"),
+        F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("edge"),
+    )
+    return F.aggregate(edges, begin, step, walk)
 
 
 def segment(words: DataFrame, table: DataFrame, first_byte: int) -> DataFrame:
-    """``(unit, ids)`` of distinct ``words`` (``unit``)."""
-    edges = lattice(words, table, first_byte)
-    steps = edges.groupBy("unit", "stop").agg(F.collect_list(F.struct("start", "score", "ids")).alias("edges"))
-    ordered = steps.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("stop", "edges"))).alias("steps"))
-    return ordered.select("unit", best_path(F.col("steps.edges")).alias("ids"))
+    """``(unit, ids)`` of distinct ``words`` (``unit``).
+
+    The scores of the pieces stand in the plan as one array, by id; characters without a piece count less than
+    any piece and become their bytes.
+    """
+    known = {row["id"]: row["score"] for row in table.select("id", "score").collect()}
+    unknown = min(known.values()) - UNKNOWN_PENALTY
+    listed = ",".join(repr(known.get(at, unknown)) for at in range(max(known) + 1))
+    scores = F.split(F.lit(listed), ",").cast("array<double>")
+    edges = lattice(words, table).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    path = edges.select("unit", best_path(F.col("edges"), scores).alias("path"))
+    ids = F.transform(
+        "path",
+        lambda edge: F.when(_id(edge) > 0, F.array(_id(edge))).otherwise(
+            _bytes_ids(F.substr("unit", _stop(edge), F.lit(1)), first_byte)
+        ),
+    )
+    return path.select("unit", F.flatten(ids).alias("ids"))
 
 
 class _Dictionary:
