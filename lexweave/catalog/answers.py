@@ -127,7 +127,7 @@ def rerank_sql(source: str, name: str, keep: int) -> str:
 
 @register("h5_rerank", f"WITH {HITS_SQL}, {rerank_sql('hits', 'reranked', 10)} SELECT query_id, id, index, round(coalesce(relevance, 0), 6) AS relevance, rank FROM reranked")
 def rerank(t: Tables):
-    ranked = ranking.rerank(hits(t), size=5)
+    ranked = ranking.rerank(hits(t), size=5, candidates=ranking.SERVICE_LIMIT, extra=ranking.SERVICE_EXTRA)
     return ranked.select("query_id", "id", "index", F.round("relevance", 6).alias("relevance"), "rank")
 
 

@@ -472,6 +472,39 @@ def embed(t: Tables):
     return embedding.embed_table(t.read("documents").select("doc_id", "text")).select("doc_id", "embedding")
 
 
+@register(
+    "d6_embedding_shape",
+    r"""SELECT doc_id, regexp_matches(text, '[\p{L}\p{N}]') AS embedded,
+    CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 64 END AS dimension,
+    CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE END AS norm FROM documents""",
+)
+def embedding_shape(t: Tables):
+    vectors = embedding.embed_table(t.read("documents").select("doc_id", "text"))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    known = F.col("embedding").isNotNull()
+    return vectors.select(
+        "doc_id", known.alias("embedded"), F.when(known, F.size("embedding")).alias("dimension"),
+        F.round(F.sqrt(squares), 4).alias("norm"),
+    )
+
+
+def lengths(texts: list[str]) -> list[list[float]]:
+    """A model without a network: characters and line feeds of each text."""
+    return [[float(len(text)), float(text.count("\n"))] for text in texts]
+
+
+@register(
+    "d6_embed_with_model",
+    """SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) AS DOUBLE) AS breaks
+    FROM documents""",
+)
+def embed_with_model(t: Tables):
+    vectors = embedding.embed_table(t.read("documents").select("doc_id", "text"), lengths, dimension=2)
+    return vectors.select(
+        "doc_id", F.get("embedding", F.lit(0)).cast("double").alias("chars"), F.get("embedding", F.lit(1)).cast("double").alias("breaks")
+    )
+
+
 @register(
     "d7_missing_embeddings",
     "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND source = 'src5' AND doc_id >= 600",

@@ -278,9 +278,14 @@ def histogram(t: Tables):
     return usage.duration_histogram(traces(t), ["name", "run_type", "status"])
 
 
-@register("l4_duration_summary")
+@register(
+    "l4_duration_summary",
+    f"""WITH {TRACES_SQL} SELECT name, run_type, count(*) AS n, round(sum(seconds), 6) AS total_seconds,
+    quantile_disc(seconds, 0.5) AS p50, quantile_disc(seconds, 0.95) AS p95 FROM traces GROUP BY 1, 2""",
+)
 def duration_summary(t: Tables):
-    return usage.duration_summary(traces(t), ["name", "run_type"])
+    found = usage.duration_summary(traces(t), ["name", "run_type"])
+    return found.withColumn("total_seconds", F.round("total_seconds", 6))
 
 
 @register("l5_error_counts", f"WITH {TRACES_SQL} SELECT name, run_type, count(*) AS errors FROM traces WHERE status = 'error' GROUP BY 1, 2")

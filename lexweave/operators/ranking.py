@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions import links, rules, text
 
-RERANK_CANDIDATES, RERANK_LIMIT, RERANK_EXTRA = 50, 100, 5
+# What a remote ranking service takes and gives: hits scored at most, and hits returned beyond the page.
+SERVICE_LIMIT, SERVICE_EXTRA = 100, 5
 
 
 def drop_empty_content(hits: DataFrame) -> DataFrame:
@@ -41,18 +42,21 @@ def overlap_score(query, candidate) -> Column:
 def rerank(
     hits: DataFrame,
     scorer: Callable[[list[str], list[str]], list[float]] | None = None,
-    size: int = 10,
+    size: int | None = None,
     offset: int = 0,
+    candidates: int | None = None,
+    extra: int = 0,
 ) -> DataFrame:
-    """The best hits by the score of (query, title and snippet), with their old rank in ``index``.
+    """The hits by the score of (query, title and snippet), with their old rank in ``index``.
 
-    At most the first 100 hits are scored; blank ones are dropped; page plus five
-    are returned.  ``scorer`` takes the queries and texts of one batch and runs
+    Blank hits are dropped.  With ``candidates`` only the first so many are scored; with ``size`` the
+    page and ``extra`` hits beyond it are returned, else all.  ``scorer`` takes the queries and texts of one batch and runs
     inside the tasks; the default is the word overlap.  Queries for which the
     scorer fails keep their order.
     """
     candidate = text.trim_ws(F.concat_ws(" ", F.coalesce("title", F.lit("")), "snippet"))
-    scored = hits.where(F.col("rank") <= RERANK_LIMIT).withColumn("__text", candidate)
+    taken = hits if candidates is None else hits.where(F.col("rank") <= candidates)
+    scored = taken.withColumn("__text", candidate)
     scored = scored.where(F.col("__text") != "").withColumn("index", F.col("rank") - 1)
     if scorer is None:
         scored = scored.withColumn("relevance", overlap_score("query", "__text"))
@@ -60,7 +64,7 @@ def rerank(
         scored = _apply_scorer(scored, scorer)
     window = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("relevance"), "index")
     ranked = scored.withColumn("rank", F.row_number().over(window)).drop("__text")
-    return ranked.where(F.col("rank") <= offset + size + RERANK_EXTRA)
+    return ranked if size is None else ranked.where(F.col("rank") <= offset + size + extra)
 
 
 def _apply_scorer(hits: DataFrame, scorer: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
@@ -81,9 +85,11 @@ def _apply_scorer(hits: DataFrame, scorer: Callable[[list[str], list[str]], list
     return scored.withColumn("relevance", F.when(~failed, F.col("relevance")))
 
 
-def rerank_then_boost_page(hits: DataFrame, scorer=None, size: int = 10, offset: int = 0) -> DataFrame:
+def rerank_then_boost_page(
+    hits: DataFrame, scorer=None, size: int = 10, offset: int = 0, candidates: int | None = None, extra: int = SERVICE_EXTRA
+) -> DataFrame:
     boosted = tier_boost(hits)
-    return page_hits(tier_boost(rerank(boosted, scorer, size, offset)), size, offset)
+    return page_hits(tier_boost(rerank(boosted, scorer, size, offset, candidates, extra)), size, offset)
 
 
 def page_hits(hits: DataFrame, size: int = 10, offset: int = 0) -> DataFrame:

@@ -290,13 +290,13 @@ def hit_rows(spark, n=120):
 
 
 def test_rerank_default(spark):
-    found = ranking.rerank(hit_rows(spark), size=3).orderBy("rank").collect()
+    found = ranking.rerank(hit_rows(spark), size=3, extra=5).orderBy("rank").collect()
     assert [row["index"] for row in found] == [70, 0, 1, 2, 4, 5, 6, 7]
 
 
 def test_rerank_with_a_scorer(spark):
     scorer = lambda queries, texts: [float(text[1:].split()[0]) for text in texts]
-    found = ranking.rerank(hit_rows(spark), scorer, size=1).orderBy("rank").collect()
+    found = ranking.rerank(hit_rows(spark), scorer, size=1, extra=5).orderBy("rank").collect()
     assert [row["index"] for row in found] == [99, 98, 97, 96, 95, 94]  # only the first hundred are scored
 
 
@@ -304,5 +304,5 @@ def test_failing_scorer_keeps_the_order(spark):
     def broken(queries, texts):
         raise RuntimeError("down")
 
-    found = ranking.rerank(hit_rows(spark), broken, size=1).orderBy("rank").collect()
+    found = ranking.rerank(hit_rows(spark), broken, size=1, extra=5).orderBy("rank").collect()
     assert [row["index"] for row in found] == [0, 1, 2, 4, 5, 6]
