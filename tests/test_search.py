@@ -296,7 +296,7 @@ def test_rerank_default(spark):
 
 def test_rerank_with_a_scorer(spark):
     scorer = lambda queries, texts: [float(text[1:].split()[0]) for text in texts]
-    found = ranking.rerank(hit_rows(spark), scorer, size=1, extra=5).orderBy("rank").collect()
+    found = ranking.rerank(hit_rows(spark), scorer, size=1, extra=5, candidates=100).orderBy("rank").collect()
     assert [row["index"] for row in found] == [99, 98, 97, 96, 95, 94]  # only the first hundred are scored
 
 
