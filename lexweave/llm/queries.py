@@ -129,6 +129,31 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+ORACLES["op3_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM sets),
+pairs AS (
+  SELECT a.doc_id AS low, b.doc_id AS high
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT low AS a, high AS b FROM pairs UNION ALL SELECT high, low FROM pairs),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.other = links.a)
+SELECT doc_id, len(s) AS n_shingles, component_id
+FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+"""
+
+
 @register
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
