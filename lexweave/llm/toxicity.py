@@ -21,7 +21,7 @@ Only the named columns are read; labels, language, source and id are never input
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,6 +72,9 @@ class Vocabulary:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(word hashes, trigrams, first trigram of each word)`` of the words from 1 on."""
+        if not self.places:
+            none = np.empty(0, np.uint64)
+            return none, none, np.empty(0, np.int64)
         encoded = [b"^" + word.encode() + b"$" for word in self.places]
         data = np.frombuffer(b"".join(encoded), np.uint8).astype(np.uint64)
         lengths = np.array([len(item) for item in encoded], dtype=np.int64)
@@ -93,11 +96,13 @@ def _rows_of(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(known[at] == asked, at + 1, 0)
 
 
-def _frequent(values: np.ndarray, documents: np.ndarray, least: int) -> np.ndarray:
-    """The sorted values that occur in ``least`` documents or more."""
-    pairs = np.unique(np.stack([values, documents.astype(np.uint64)], axis=1), axis=0)
-    found, counts = np.unique(pairs[:, 0], return_counts=True)
-    return found[counts >= least]
+def _frequent(values: np.ndarray, documents: Iterable[np.ndarray], least: int) -> np.ndarray:
+    """The sorted distinct ``values`` that ``least`` documents or more have; a document is a list of places in ``values``."""
+    distinct, names = np.unique(values, return_inverse=True)
+    counts = np.zeros(len(distinct), np.int32)
+    for places in documents:
+        counts[np.unique(names[places])] += 1
+    return distinct[counts >= least]
 
 
 def windows_of(ids: list[int], settings: Settings) -> np.ndarray:
@@ -265,11 +270,10 @@ def _fit(texts: list[str], labels: list[int], settings: Settings) -> Network:
     toxic one of each document; the other windows of toxic documents say nothing.
     """
     rng, vocabulary = np.random.default_rng(settings.seed), Vocabulary(settings)
-    parts, owners, words, documents = [], [], [], []
+    parts, owners, words = [], [], []
     for at, text in enumerate(texts):
         ids = vocabulary.ids(words_of(text))
-        words.append(np.unique(ids).astype(np.int64))
-        documents.append(np.full(len(words[-1]), at))
+        words.append(np.unique(ids).astype(np.int64) - 1)
         found = windows_of(ids, settings)
         if len(found) > settings.train_windows:
             found = found[np.sort(rng.choice(len(found), settings.train_windows, replace=False))]
@@ -281,15 +285,16 @@ def _fit(texts: list[str], labels: list[int], settings: Settings) -> Network:
     weight = np.where(targets > 0, 0.3, 1).astype(np.float32)
     hashes, codes, firsts = vocabulary.hashes()
     counts = np.diff(np.append(firsts, len(codes)))
-    words, documents = np.concatenate(words) - 1, np.concatenate(documents)
-    spread = np.repeat(np.arange(len(words)), counts[words])
-    within = np.arange(len(spread)) - np.repeat(np.cumsum(counts[words]) - counts[words], counts[words])
-    grams_seen = codes[firsts[words[spread]] + within]
+
+    def grams_of(mine: np.ndarray) -> np.ndarray:
+        sizes = counts[mine]
+        return np.repeat(firsts[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
     least = max(settings.least_documents, int(settings.least_share * len(texts)))
     network = Network(
         settings,
-        _frequent(hashes[words], documents, least),
-        _frequent(grams_seen, documents[spread], least),
+        _frequent(hashes, words, least),
+        _frequent(codes, (grams_of(mine) for mine in words), least),
     )
     word, grams = _rows_of(network.known_words, hashes), _rows_of(network.known_grams, codes)
     e = settings.embedding

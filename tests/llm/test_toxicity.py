@@ -100,6 +100,8 @@ def test_odd_rows_and_missing_labels(spark, odd, none):
     rows = toxicity.score(docs, labels, TINY).collect()
     assert len(rows) == docs.count() and all(0 <= row["score"] <= 1 for row in rows)
     assert toxicity.score(none, labels, TINY).count() == 0
+    blank = toxicity.train([""] * 8, [0, 1] * 4, TINY)
+    assert np.isfinite(toxicity.score_block(blank, ["", "ala"])[0]).all()
     texts, truth = corpus(4, 120)
     network = toxicity.train(texts, truth, TINY)
     scores, worst = toxicity.score_block(network, ["", "ala scum bela", "dun " * 3000])
