@@ -237,6 +237,8 @@ class _Adam:
         self.steps += 1
         scale = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for name, gradient in gradients.items():
+            if not gradient.size:
+                continue
             if name in rows:
                 size = self.sizes[name] = 0.95 * self.sizes.get(name, 0.0) + 0.05 * float(np.abs(gradient).max())
                 self.weights[name][rows[name]] -= 5 * self.rate * gradient / (size / (1 - 0.95**self.steps) + 1e-8)
