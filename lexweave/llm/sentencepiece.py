@@ -144,18 +144,22 @@ def best_path(edges: Column, scores: Column) -> Column:
         return F.get(F.transform(F.array(before), taken), F.lit(0))
 
     def walk(state: Column) -> Column:
-        back = F.concat(state["back"], F.array(state["edge"]))
-        begin = F.struct(state["stop"].alias("at"), F.array().cast("array<bigint>").alias("path"))
+        def along(back: Column) -> Column:
+            begin = F.struct(state["stop"].alias("at"), F.array().cast("array<bigint>").alias("path"))
 
-        def move(found: Column, _: Column) -> Column:
-            edge = F.get(state_back, found["at"])
-            return F.when(
-                found["at"] > 0,
-                F.struct((found["at"] - _length(edge)).alias("at"), F.concat(F.array(edge), found["path"]).alias("path")),
-            ).otherwise(found)
+            def move(found: Column, _: Column) -> Column:
+                def taken(edge: Column) -> Column:
+                    return F.struct(
+                        (found["at"] - _length(edge)).alias("at"), F.concat(F.array(edge), found["path"]).alias("path")
+                    )
 
-        state_back = back
-        return F.aggregate(state["back"], begin, move, lambda found: found["path"])
+                edge = F.array(F.get(back, found["at"]))
+                return F.when(found["at"] > 0, F.get(F.transform(edge, taken), F.lit(0))).otherwise(found)
+
+            return F.aggregate(state["back"], begin, move, lambda found: found["path"])
+
+        whole = F.array(F.concat(state["back"], F.array(state["edge"])))
+        return F.get(F.transform(whole, along), F.lit(0))
 
     none = F.array().cast("array<double>")
     begin = F.struct(
@@ -300,22 +304,18 @@ def _encode_by_join(source: DataFrame, known: DataFrame, text_col: str, id_col:
 
 
 def decode(coded: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``coded`` with the text of its ids; a null list is an empty text."""
-    source = coded.drop(out_col)
+    """``coded`` with the text of its ids; a null list is an empty text.
+
+    The bytes of all pieces stand in the plan as one array (as hexadecimal digits); bytes that are no UTF-8 become
+    U+FFFD.
+    """
     found = _processor(model)
     spelled = [
-        bytes([int(found.id_to_piece(at)[3:5], 16)]) if found.is_byte(at)
-        else b"" if found.is_control(at) else found.id_to_piece(at).replace(SPACE, " ").encode()
+        found.id_to_piece(at)[3:5] if found.is_byte(at)
+        else "" if found.is_control(at) else found.id_to_piece(at).replace(SPACE, " ").encode().hex()
         for at in range(found.get_piece_size())
     ]
-
-    def text_of(ids) -> str:
-        if ids is None:
-            return ""
-        return b"".join(map(spelled.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
-
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield from _sliced(batch, out_col, map(text_of, batch[ids_col]))
-
-    return source.mapInPandas(decoded, f"{_schema(source)}, {out_col} string")
+    digits = F.split(F.lit(",".join(spelled)), ",")
+    whole = F.unhex(F.array_join(F.transform(F.col(ids_col), lambda at: F.get(digits, at)), ""))
+    text = F.make_valid_utf8(whole.cast("string"))
+    return coded.drop(out_col).withColumn(out_col, F.coalesce(F.regexp_replace(text, "^ ", ""), F.lit("")))
