@@ -1,13 +1,7 @@
-import sys
-from pathlib import Path
+"""Fixtures of the training-data tests; imported by name, as a second conftest would hide the first."""
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture
 def odd(spark):

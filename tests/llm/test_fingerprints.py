@@ -7,6 +7,7 @@ import xxhash
 
 from lexweave.llm import fingerprints
 from pyspark.sql import functions as F
+from llm_fixtures import none, odd  # noqa: F401
 
 K, S, UNIT = fingerprints.K, fingerprints.S, fingerprints.UNIT
 

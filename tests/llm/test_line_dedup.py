@@ -3,6 +3,7 @@ import random
 import xxhash
 
 from lexweave.llm import line_dedup
+from llm_fixtures import none, odd  # noqa: F401
 
 
 def signed(value):

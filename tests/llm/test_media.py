@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lexweave.llm import media
+from llm_fixtures import none, odd  # noqa: F401
 
 
 def filtered(image, kinds):

@@ -6,6 +6,7 @@ import numpy as np
 
 from lexweave.llm import ngram_join
 from lexweave.llm.components import components
+from llm_fixtures import none, odd  # noqa: F401
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

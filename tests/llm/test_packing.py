@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lexweave.llm import packing
+from llm_fixtures import none, odd  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 TEXTS = ["", None, "hello", "é 日本 🙂 it's\n\n  x", "word " * 5000, "a" * 3000, "hello", "don't  stop <|endoftext|> now"]

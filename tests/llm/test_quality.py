@@ -1,6 +1,7 @@
 import numpy as np
 
 from lexweave.llm import quality
+from llm_fixtures import none, odd  # noqa: F401
 
 SMALL = "/root/testdata/sf0.01"
 

@@ -3,6 +3,7 @@ import sentencepiece as library
 from sentencepiece import sentencepiece_model_pb2 as model_file
 
 from lexweave.llm import sentencepiece
+from llm_fixtures import none, odd  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 ODD = ["", None, " ", "\n", "  two  spaces ", "é \x00\t日本 zz 🙂", "x" * 300, "a", "a", "\n\n a\nb"]

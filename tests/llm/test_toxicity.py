@@ -6,6 +6,7 @@ import pytest
 
 from lexweave.llm import toxicity
 from pyspark.sql import functions as F
+from llm_fixtures import none, odd  # noqa: F401
 
 TINY = toxicity.Settings(window=12, stride=8, train_documents=150, epochs=4, least_steps=60, batch=64)
 
