@@ -14,8 +14,8 @@ chunk that a third of all documents share is one row per task.
 
 Nulls and edge cases: null and empty texts stay as they are; a text of one line
 is one chunk and stays; chunks without a letter or digit stay.  Rows that share an
-id count as one document and are cleaned alike.  Rows with a null id are kept as
-they are.  An empty table gives an empty table.  All columns are returned in their
+id and their text count as one document and are cleaned alike; texts that differ under one
+id are documents of their own, ordered by their hash.  Rows with a null id are kept as they are.  An empty table gives an empty table.  All columns are returned in their
 order; the added one replaces a column of its name.
 """
 
@@ -73,31 +73,31 @@ def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column
 def repeated_chunks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR
 ) -> DataFrame:
-    """``(doc, drop)``: the positions of the chunks of each document that occur before."""
+    """``(doc, mark, drop)``: the positions of the chunks of each document, known by id and hash of its text, that occur before."""
     parts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).contains("\n")).select(
-        F.col(id_col).alias("doc"), chunks(F.col(text_col), window, divisor).alias("parts")
+        F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), chunks(F.col(text_col), window, divisor).alias("parts")
     )
     thin = materialize(
-        parts.select("doc", F.posexplode("parts").alias("at", "part"))
+        parts.select("doc", "mark", F.posexplode("parts").alias("at", "part"))
         .where(F.col("part").contains("\n") & F.col("part").rlike(r"[\p{L}\p{N}]"))
-        .select("doc", "at", F.xxhash64("part").alias("hash")),
+        .select("doc", "mark", "at", F.xxhash64("part").alias("hash")),
         "chunks",
     )
     owners = (
         thin.groupBy("hash")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "at")).alias("first"))
         .where("n > 1")
         .select("hash", "first")
     )
-    own = (F.col("first.doc") == F.col("doc")) & (F.col("first.at") == F.col("at"))
-    suspects = thin.join(owners, "hash").groupBy("doc").agg(F.collect_set(F.struct("at", "hash", own.alias("own"))).alias("found"))
-    spelled = parts.join(suspects, "doc").select("doc", "parts", F.explode("found").alias("found")).select(
-        "doc", "found.*", F.get("parts", F.col("found.at")).alias("part")
+    own = F.col("first") == F.struct("doc", "mark", "at")
+    suspects = thin.join(owners, "hash").groupBy("doc", "mark").agg(F.collect_set(F.struct("at", "hash", own.alias("own"))).alias("found"))
+    spelled = parts.join(suspects, ["doc", "mark"]).select("doc", "mark", "parts", F.explode("found").alias("found")).select(
+        "doc", "mark", "found.*", F.get("parts", F.col("found.at")).alias("part")
     )
     spelled = materialize(spelled, "suspects")
     firsts = spelled.where("own").select("hash", F.col("part").alias("first_part"))
     equal = spelled.where("not own").join(firsts, "hash").where("part = first_part")
-    return equal.groupBy("doc").agg(F.collect_set("at").alias("drop"))
+    return equal.groupBy("doc", "mark").agg(F.collect_set("at").alias("drop"))
 
 
 def dedup_lines(
@@ -106,7 +106,7 @@ def dedup_lines(
     """``docs`` with repeated chunks taken out of the text, and their number as ``removed_chunks``."""
     names = [name for name in docs.columns if name != "removed_chunks"]
     drops = repeated_chunks(docs, id_col, text_col, window, divisor).select(
-        F.col("doc").alias("__doc"), F.col("drop").alias("__drop")
+        F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("drop").alias("__drop")
     )
     kept = _let(
         chunks(F.col(text_col), window, divisor),
@@ -115,7 +115,7 @@ def dedup_lines(
         ),
     )
     cleaned = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.select(*names).join(drops, F.col(id_col) == F.col("__doc"), "left")
+    joined = docs.select(*names).join(drops, (F.col(id_col) == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__mark")), "left")
     return joined.withColumns(
         {text_col: cleaned, "removed_chunks": F.coalesce(F.size("__drop"), F.lit(0))}
     ).select(*names, "removed_chunks")

@@ -79,3 +79,10 @@ def test_odd_rows_and_columns(spark, odd, none):
     found = line_dedup.dedup_lines(docs)
     assert found.columns == [*docs.columns, "removed_chunks"] and found.count() == docs.count()
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    # The second text of id 2 repeats the text of id 1; the first has other lines at these places.
+    rows = [(1, "a b\nc d"), (2, "e f\ng h"), (2, "a b\nc d"), (2, "a b\nc d")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((row["doc_id"], row["text"]) for row in found.collect()) == [(1, "a b\nc d"), (2, ""), (2, ""), (2, "e f\ng h")]
