@@ -30,11 +30,11 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated multi-line chunks out of the texts; a document of which nothing is left goes.
+    """Takes repeated chunks and passages of lines out of the texts; a document of which nothing is left goes.
 
     ``n_chars`` follows the text where it was changed.
     """
-    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS), words=line_dedup.PASSAGE_WORDS)
     length = F.when(F.col("removed_chunks") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.where("removed_chunks = 0 or text <> ''").withColumn("n_chars", length).select(*COLUMNS)
 

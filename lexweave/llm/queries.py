@@ -57,7 +57,7 @@ FROM parts LEFT JOIN fits USING (page_id)
 @register
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, words=line_dedup.PASSAGE_WORDS)
 
 
 @register

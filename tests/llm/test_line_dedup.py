@@ -81,6 +81,66 @@ def test_odd_rows_and_columns(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def brute_passages(docs, words):
+    """Without chunks: a line goes if it stands in a run of lines with more words that starts earlier elsewhere."""
+    seen, result = set(), {}
+    for doc_id, text in sorted(docs):
+        lines = text.split("\n")
+        gone, spans = set(), [(i, j) for i in range(len(lines)) for j in range(i, len(lines))]
+        for i, j in spans:
+            run = "\n".join(lines[i : j + 1])
+            if len(run.split()) > words:
+                if run in seen:
+                    gone.update(range(i, j + 1))
+                seen.add(run)
+        result[doc_id] = "\n".join(line for at, line in enumerate(lines) if at not in gone)
+    return result
+
+
+def test_passages_between_random_neighbours(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(rng.choice([20, 30, 45])) for _ in range(n)] for n in (2, 3, 4, 5) for _ in range(6)]
+    passages += [[line(60)] for _ in range(4)] + [[line(30), "", line(30), line(5), ""], [line(5)] * 30, [line(50)], [line(8), line(9)]]
+    docs = []
+    for doc_id in range(150):
+        lines = [line(rng.randrange(0, 40)) for _ in range(rng.randrange(0, 6))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = rng.choice(passages)
+        docs.append((doc_id, "\n".join(lines)))
+    docs += [(150, "\n".join(passages[-5])), (151, line(70)), (152, docs[-1][1])]
+    docs.append((153, docs[151][1]))
+    never = 2**31 - 1  # no boundary inside a text: the brute force knows no chunks
+    found = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), divisor=never, words=50)
+    want = brute_passages(docs, 50)
+    # A whole text of two lines or more is still one chunk, however few words it has.
+    first = {}
+    for doc_id, text in docs:
+        if "\n" in text and first.setdefault(text, doc_id) != doc_id and any(c.isalnum() for c in text):
+            want[doc_id] = ""
+    assert sum(text != dict(docs)[doc_id] for doc_id, text in want.items()) > 60
+    assert {row["doc_id"]: row["text"] for row in found.collect()} == want
+
+
+def test_query_and_stage_take_whole_passages(spark, tmp_path):
+    import corpus_pipeline
+    from lexweave.llm import queries
+
+    rng = random.Random(2)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(30) for _ in range(n)] for n in (2, 3, 4, 5)] + [[line(51)]]
+    own = [[line(9), line(9)] for _ in range(40)]
+    docs = [(at, "\n".join([own[at][0], *passages[at % 5], own[at][1]]), "x", "y", 0) for at in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {at: docs[at][1] if at < 5 else "\n".join(own[at]) for at in range(40)}
+    for found in (
+        queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)),
+        corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)),
+    ):
+        assert {row["doc_id"]: row["text"] for row in found.collect()} == want
+
+
 def test_texts_that_share_an_id(spark):
     # The second text of id 2 repeats the text of id 1; the first has other lines at these places.
     rows = [(1, "a b\nc d"), (2, "e f\ng h"), (2, "a b\nc d"), (2, "a b\nc d")]
