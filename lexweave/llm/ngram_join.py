@@ -164,7 +164,7 @@ def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
 
     ``least`` is the number of keys it shares with any set it links with.
 
-    A task gives the keys of equal sets once.
+    A task gives the keys of equal sets once, for a row with an id.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,8 +178,10 @@ def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
                         yield doc_id, 0, None, 0, None
                         continue
                     node = _node(grams)
-                    fresh = node not in seen
-                    seen.add(node)
+                    known = not pd.isna(doc_id)  # rows without an id link with nothing and stand for no other
+                    fresh = known and node not in seen
+                    if known:
+                        seen.add(node)
                     yield doc_id, len(grams), node, least_equal(len(grams), settings), block_keys(grams, settings).view(np.int64) if fresh else None
 
         columns = ["doc_id", "n_shingles", "node", "least", "keys"]

@@ -93,6 +93,14 @@ def test_rows_that_share_an_id(spark):
     )
 
 
+def test_a_row_without_id_before_its_twin(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join([*words[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {row["doc_id"]: row["component_id"] for row in ngram_join.near_duplicates(docs).collect()}
+    assert found == {None: None, 1: 1, 2: 1}
+
+
 def test_clashing_columns_and_empty_table(spark, odd, none):
     docs = odd(["a b c d", "A B C D", None])
     assert ngram_join.near_duplicates(docs).count() == docs.count()
