@@ -16,6 +16,8 @@ from lexweave.llm import line_dedup, ngram_join, packing, quality, toxicity
 from lexweave.llm.common import materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# What the pipeline calls near; op3 alone keeps the defaults of its contract.
+NEAR = ngram_join.Settings(words=5, percent=80)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +42,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id.
+    """Of each group of near duplicates (5-word shingles, Jaccard of 0.8 or more) the document with the smallest id.
 
     Rows that share an id with it stay together; rows without an id always stay.
     """
-    groups = ngram_join.near_duplicates(docs)
+    groups = ngram_join.near_duplicates(docs, NEAR)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
 

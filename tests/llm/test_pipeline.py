@@ -64,3 +64,35 @@ def test_no_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def near_groups(texts, words, share):
+    """Kept places under shingles of so many words, by comparing all pairs."""
+    sets = []
+    for text in texts:
+        found = text.lower().split()
+        sets.append({tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set())
+    group = list(range(len(texts)))
+    for b in range(len(sets)):
+        for a in range(b):
+            common = len(sets[a] & sets[b])
+            if common and common >= share * (len(sets[a]) + len(sets[b]) - common):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if at == old else at for at in group]
+    return [at for at, first in enumerate(group) if at == first]
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    texts = []
+    for base in range(20):
+        words = [f"b{base}w{i}" for i in range(60)]
+        texts.append(" ".join(words))
+        # Edits in the middle cost five shingles each: from equal to well below the bound.
+        for edits in range(1, 5):
+            changed = [f"e{edits}" if i % 14 == 13 and i // 14 < edits else word for i, word in enumerate(words)]
+            texts.append(" ".join([*changed, *[f"t{base}e{edits}n{i}" for i in range(base % 5)]]))
+    rows = [(at, text, "x", "y", len(text)) for at, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted(row["doc_id"] for row in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SMALL).collect())
+    want = near_groups(texts, 5, 0.8)
+    assert found == want and want != near_groups(texts, 4, 0.85)
