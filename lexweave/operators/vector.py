@@ -7,6 +7,7 @@ task emits only its best ``k`` rows per query, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ QUERY_BLOCK = 2_000
 # Rows of a group of the block join; keeps a group within a task's memory.
 ROW_BLOCK = 20_000
 DECIMALS = 8
+# Buckets of each table a query is compared in, and the most planes such a bucket may lie across.
+PROBES = 12
+FLIPS = 3
 
 
 def cosine_similarity(left, right) -> Column:
@@ -159,32 +163,43 @@ def _block_top(
 
 
 def vector_top_approx(
-    chunks: DataFrame, queries: DataFrame, k: int, dimension: int, bits: int = 6, tables: int = 8, seed: int = 7
+    chunks: DataFrame, queries: DataFrame, k: int, dimension: int, bits: int = 6, tables: int = 8, seed: int = 7,
+    probes: int = PROBES,
 ) -> DataFrame:
-    """Approximate nearest chunks: only rows that share a random-hyperplane bucket are compared.
+    """Approximate nearest chunks: a query is compared with rows of its random-hyperplane bucket and of those next to it.
 
-    Candidates are scored exactly.  More tables find more of the true neighbours,
+    A row is in one bucket of each table, a query asks ``probes`` of them: its own and
+    those across the planes it is nearest to, up to ``FLIPS`` planes at once.
+    Candidates are scored exactly.  More probes and tables find more of the true neighbours,
     more bits compare fewer rows.  Buckets of any size are split into blocks.
     """
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dimension))
+    lengths = np.linalg.norm(planes, axis=1)
+    flips = [at for n in range(FLIPS + 1) for at in combinations(range(bits), n)]
+    across = np.array([[bit in flip for bit in range(bits)] for flip in flips], dtype=np.float64)
 
-    def bucketed(df: DataFrame, vector: str) -> DataFrame:
+    def bucketed(df: DataFrame, vector: str, probes: int) -> DataFrame:
         schema = df.schema.simpleString()[len("struct<") : -1]
 
         def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             weights = 1 << np.arange(bits)
             for batch in batches:
                 if len(batch):
-                    signs = (np.asarray(batch[vector].tolist(), dtype=np.float64) @ planes.T) > 0
-                    codes = (signs.reshape(len(batch), tables, bits) * weights).sum(axis=2)
-                    yield batch.assign(buckets=list(codes.astype(np.int32)))
-
-        coded = df.mapInPandas(buckets, f"{schema},buckets:array<int>")
+                    sides = np.asarray(batch[vector].tolist(), dtype=np.float64) @ planes.T
+                    codes = ((sides > 0).reshape(len(batch), tables, bits) * weights).sum(axis=2)[:, :, None]
+                    if probes > 1:
+                        far = ((sides / lengths) ** 2).reshape(len(batch), tables, bits) @ across.T
+                        nearest = np.argsort(far, axis=2, kind="stable")[:, :, :probes]
+                        codes = codes ^ (across @ weights).astype(np.int64)[nearest]
+                    yield batch.assign(buckets=[list(row) for row in codes.astype(np.int32)])
+
+        coded = df.mapInPandas(buckets, f"{schema},buckets:array<array<int>>")
         names = [name for name in df.columns]
-        return coded.select(*names, F.posexplode("buckets").alias("hash_table", "bucket"))
+        by_table = coded.select(*names, F.posexplode("buckets").alias("hash_table", "bucket"))
+        return by_table.withColumn("bucket", F.explode("bucket"))
 
     rows, asked, filters = _inputs(chunks, queries)
     return _block_top(
-        bucketed(rows, "embedding"), bucketed(asked, "vector"), k, filters,
+        bucketed(rows, "embedding", 1), bucketed(asked, "vector", probes), k, filters,
         keys=["hash_table", "bucket"], max_keys=tables << bits,
     )

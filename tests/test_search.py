@@ -220,6 +220,18 @@ def test_approximate_recall(spark):
     assert hits / sum(map(len, exact.values())) > 0.7
 
 
+def test_registered_approximate_recall(spark):
+    from lexweave import catalog
+    from lexweave.catalog.base import Tables
+
+    small = "/root/testdata/sf0.01"
+    tables = Tables(spark, small)
+    exact = by_query(vector.vector_top(tables.embedded_documents(), tables.vector_queries(), 20))
+    found = by_query(catalog.QUERIES["g3_vector_top_approx"](spark, small))
+    hits = sum(len(set(exact[q]) & set(found.get(q, []))) for q in exact)
+    assert hits >= 0.9 * sum(map(len, exact.values()))
+
+
 def test_cosine(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     found = [row[0] for row in rows.select(vector.cosine_similarity("a", "b")).collect()]
