@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, media, ngram_join, packing, quality, sentencepiece, toxicity, url_filter, warc
+from . import (
+    divergence,
+    fingerprints,
+    golay_simhash,
+    line_dedup,
+    media,
+    ngram_join,
+    packing,
+    quality,
+    sentencepiece,
+    toxicity,
+    url_filter,
+    warc,
+    whitening,
+)
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +184,54 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex(F.xxhash64("ids"))).alias("ids_hash"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+@register
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@register
+def op12_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = golay_simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLES["op13_source_divergence"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text
+  FROM documents),
+occurrences AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM occurrences GROUP BY lang, source, term),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (
+  SELECT lang, source, sum(counts.n) AS total
+  FROM counts JOIN kept USING (lang, term) GROUP BY lang, source),
+grid AS (
+  SELECT lang, source, term, coalesce(counts.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(counts.n, 0) + 1)) // (coalesce(totals.total, 0) + v) AS p,
+         1 + (1000000000::HUGEINT * (kept.n + 1)) // (langs.total + v) AS q
+  FROM groups JOIN kept USING (lang) JOIN langs USING (lang)
+  LEFT JOIN totals USING (lang, source) LEFT JOIN counts USING (lang, source, term)),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM grid x JOIN grid y ON x.lang = y.lang AND x.term = y.term
+                   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM grid WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
