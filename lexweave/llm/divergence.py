@@ -39,6 +39,8 @@ TOP_TERMS = 200
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 # What a task counts before it hands over: different terms, and their bytes.
 HELD_TERMS, HELD_BYTES = 200_000, 32 << 20
+# Items of a path that are looked at to deal paths out by ranges.
+RANGE_ITEMS = 4
 # Entries of one slice of the tree, and pairs of sources a task sums before it hands over.
 SLICE_ENTRIES = 1 << 19
 HELD_PAIRS = 1 << 18
@@ -231,7 +233,9 @@ def corrections(tree: DataFrame) -> DataFrame:
         if sums:
             yield given()
 
-    ordered = tree.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # Ranges are found from the beginnings of paths, as the driver samples them; paths that begin alike are spread.
+    head = F.transform(F.slice("path", 1, RANGE_ITEMS), lambda item: F.shiftleft(item["place"].cast("long"), 32) + item["p"])
+    ordered = tree.repartitionByRange("lang", head, F.xxhash64("path")).sortWithinPartitions("lang", "path")
     return ordered.mapInArrow(correct, "lang string, place int, other int, value decimal(38,0)")
 
 
