@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions import rules, text
+from ..functions import rules, stemming, text
 from ..operators import chunking, fusion, lexical, query, vector
 from ..plans import search
 from .base import ASKED_SQL, DOCUMENTS_SQL, QUERIES_SQL, RWS, Tables, register, sql_group, sql_trim
@@ -402,10 +402,63 @@ def empty_plan(t: Tables):
     return lexical.empty_plan_matches(queries, plan, t.documents(), 20, "all")
 
 
-# Common words of the given texts, dropped from the index by the next query.
+# Common words of the given texts, dropped from the index or from the questions.
 STOP_WORDS = ["the", "and", "that", "les", "des", "die", "der", "los"]
 
 
+def stems_sql(name: str, source: str) -> str:
+    """``name(word, stem)`` of the words of ``source``, by the published rules step by step."""
+
+    def longest(word: str, endings: list[str]) -> str:
+        listed = ", ".join(f"'{ending}'" for ending in sorted(endings, key=len, reverse=True))
+        return f"coalesce(list_filter([{listed}], lambda x: length({word}) - length(x) >= p AND ends_with({word}, x))[1], '')"
+
+    return f"""
+{name}_region AS (SELECT word, CASE WHEN m = '' THEN length(word) ELSE greatest(3, length(m)) END AS p
+  FROM (SELECT word, regexp_extract(word, '^[^{stemming.VOWELS}]*[{stemming.VOWELS}]+[^{stemming.VOWELS}]') AS m FROM {source})),
+{name}_ending AS (SELECT word, p, {longest("word", [*stemming.DROPPED, "s", *stemming.SHORTENED])} AS e FROM {name}_region),
+{name}_first AS (SELECT word, p, CASE
+    WHEN e = 's' THEN CASE WHEN regexp_matches(word, '[{stemming.S_LETTERS}]s$') OR regexp_matches(word, '[^{stemming.VOWELS}]ks$')
+                      THEN left(word, length(word) - 1) ELSE word END
+    WHEN e IN ('erte', 'ert') THEN left(word, length(word) - length(e)) || 'er'
+    ELSE left(word, length(word) - length(e)) END AS w FROM {name}_ending),
+{name}_second AS (SELECT word, p, left(w, length(w) - length({longest("w", ["dt", "vt"])}) // 2) AS w FROM {name}_first),
+{name} AS (SELECT word, left(w, length(w) - length({longest("w", stemming.LAST)})) AS stem FROM {name}_second)"""
+
+
+STEMMED_PLAN_SQL = f"""{ordered_terms_sql('queries', WORDS_SQL, 'asked_words')},
+asked_listed AS (SELECT DISTINCT term AS word FROM asked_words WHERE term NOT IN ('{"', '".join(STOP_WORDS)}')), {stems_sql("asked_stems", "asked_listed")},
+plan AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(ord)) - 1 AS INT) AS ord, stem AS term,
+         CAST(count(*) OVER (PARTITION BY query_id) AS INT) AS n_terms
+         FROM asked_words JOIN asked_stems ON word = term GROUP BY query_id, stem)"""
+
+
+@register(
+    "f12_stems",
+    f"""WITH {DOCUMENTS_SQL}, {postings_sql()}, listed AS (SELECT DISTINCT token AS word FROM postings), {stems_sql("stems", "listed")}
+    SELECT stem, count(*) AS n_words, min(word) AS first_word, max(word) AS last_word FROM stems GROUP BY stem""",
+)
+def stems(t: Tables):
+    dictionary = lexical.term_stats(lexical.build_postings(t.documents(), positions=False))
+    return dictionary.groupBy(stemming.norwegian_stem("token").alias("stem")).agg(
+        F.count("*").alias("n_words"), F.min("token").alias("first_word"), F.max("token").alias("last_word")
+    )
+
+
+@register(
+    "f12_stemmed_match",
+    f"""WITH {DOCUMENTS_SQL}, {QUERIES_SQL}, {NO_FILTERS_SQL}, {postings_sql()},
+    {STEMMED_PLAN_SQL},
+    dictionary AS (SELECT token, count(*) AS df FROM postings GROUP BY token),
+    listed AS (SELECT token AS word FROM dictionary), {stems_sql("stems", "listed")},
+    resolved AS (SELECT query_id, ord, n_terms, token, df FROM plan JOIN stems ON stems.stem = plan.term JOIN dictionary ON token = word),
+    {matches_sql()} SELECT query_id, id, score FROM matches""",
+)
+def stemmed_match(t: Tables):
+    corpus = search.index_corpus(t.documents())
+    return search.lexical_matches(corpus, t.queries(), "stemmed", stop_words=STOP_WORDS)
+
+
 @register(
     "f12_stop_words",
     f"""WITH {DOCUMENTS_SQL}, {postings_sql()} SELECT token, count(*) AS df FROM postings

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.stemming import norwegian_stem
 from ..session import BROADCAST_ROWS, is_small, materialize
-from .query import EXACT, PREFIX
+from .query import EXACT, PREFIX, STEM
 
 K1, B = 1.2, 0.75
 FILTERS = ["year", "law_type", "ministry"]
@@ -95,27 +96,29 @@ def corpus_stats(chunks: DataFrame, postings: DataFrame) -> DataFrame:
 def resolve_terms(plan: DataFrame, postings: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """``(term_id, term, mode, token, df)``: the index words each distinct term of the plan stands for.
 
-    Exact terms of any length meet the dictionary by equality, prefixes of three
-    and more letters by an equi-join on the first three, shorter ones on their own length.  Terms
+    Every kind of term meets the dictionary by equality: exact terms with the word, prefixes with the
+    beginnings of the word that are as long as some prefix of the plan, stems with the stem of the word.  Terms
     and result are small and read several times by the matching, so they are
     written once to the shared folder; that also fixes the numbers.
     """
     dictionary = term_stats(postings) if dictionary is None else dictionary
     numbered = plan.select("term", "mode").distinct().withColumn("term_id", F.monotonically_increasing_id())
     terms = materialize(numbered, "plan-terms")
-    is_short = (F.length("term") < 3) & (F.col("mode") == PREFIX)
-    n_terms, n_short = terms.agg(F.count("*"), F.count_if(is_short)).first()
+    of_prefixes = F.collect_set(F.when(F.col("mode") == PREFIX, F.length("term")))  # as many as there are lengths
+    n_terms, lengths, n_stems = terms.agg(F.count("*"), of_prefixes, F.count_if(F.col("mode") == STEM)).first()
     hint = F.broadcast if n_terms <= BROADCAST_ROWS else lambda side: side
-    columns = ["term_id", "term", "mode", "token", "df"]
-    exact = terms.where(F.col("mode") == EXACT)
-    resolved = dictionary.join(hint(exact), F.col("token") == F.col("term")).select(*columns)
-    long_prefixes = terms.where((F.col("mode") == PREFIX) & ~is_short).withColumn("prefix3", F.substring("term", 1, 3))
-    found = dictionary.join(hint(long_prefixes), "prefix3").where(F.col("token").startswith(F.col("term")))
-    resolved = resolved.unionByName(found.select(*columns))
-    for length in (1, 2) if n_short else ():
-        short = terms.where(is_short & (F.length("term") == length)).withColumnRenamed("term", "start")
-        found = dictionary.withColumn("start", F.substring("token", 1, length)).join(hint(short), "start")
-        resolved = resolved.unionByName(found.withColumnRenamed("start", "term").select(*columns))
+
+    def met(entries: DataFrame, mode: str) -> DataFrame:
+        found = entries.join(hint(terms.where(F.col("mode") == mode)), "term")
+        return found.select("term_id", "term", "mode", "token", "df")
+
+    resolved = met(dictionary.withColumn("term", F.col("token")), EXACT)
+    if lengths:
+        fitting = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda size: size <= F.length("token"))
+        beginnings = F.transform(fitting, lambda size: F.substring(F.col("token"), F.lit(1), size))
+        resolved = resolved.unionByName(met(dictionary.withColumn("term", F.explode(beginnings)), PREFIX))
+    if n_stems:
+        resolved = resolved.unionByName(met(dictionary.withColumn("term", norwegian_stem("token")), STEM))
     return materialize(resolved, "terms")
 
 
@@ -132,6 +135,19 @@ def bm25(corpus: Column, k1: float = K1, b: float = B) -> Column:
     return idf * F.col("tf") * (k1 + 1) / norm
 
 
+def term_hits(postings: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """Posting rows of the words behind the terms, with ``term_id`` and ``df``."""
+    words = terms.select("term_id", "token", "df")
+    return postings.join(F.broadcast(words) if small else words, "token")
+
+
+def posting_weight(stats: DataFrame | None) -> Column:
+    """The sum of BM25 weights of posting rows, or without ``stats`` of their occurrences."""
+    if stats is None:
+        return F.sum("tf").cast("double")
+    return F.sum(bm25(stats.select(F.struct("n_docs", "avg_tokens")).scalar()))
+
+
 def doc_terms(
     postings: DataFrame, terms: DataFrame, key: str = "id", keep: list[str] | None = None,
     stats: DataFrame | None = None, positions: bool = False, small: bool | None = None,
@@ -144,12 +160,7 @@ def doc_terms(
     """
     keep = keep or []
     small = is_small(terms) if small is None else small
-    words = terms.select("term_id", "token", "df")
-    hits = postings.join(F.broadcast(words) if small else words, "token")
-    if stats is None:
-        weight = F.sum("tf").cast("double")
-    else:
-        weight = F.sum(bm25(stats.select(F.struct("n_docs", "avg_tokens")).scalar()))
+    hits, weight = term_hits(postings, terms, small), posting_weight(stats)
     places = [F.flatten(F.collect_list("positions")).alias("positions")] if positions else []
     return hits.groupBy(key, *keep, "term_id").agg(weight.alias("weight"), *places)
 
@@ -177,7 +188,9 @@ def match_terms(
 
     ``terms`` comes from ``resolve_terms``.  Chunks with the rarest term of a
     query are its candidates; the filters ``filter_*`` of ``queries`` apply to
-    them before the other terms are looked up.
+    them before the other terms are looked up.  Postings of the other terms meet the candidates by chunk
+    and term before anything is added up, so rows of a common word outside the candidates go no further; in an
+    index bucketed by chunk they never leave their bucket (with the session settings of ``get_session``).
     """
     keep = keep or []
     filters = [name for name in FILTERS if queries is not None and f"filter_{name}" in queries.columns]
@@ -193,7 +206,10 @@ def match_terms(
     holders = doc_terms(postings, rare_words, key, carried, small=small).join(hint(rarest), "term_id")
     candidates = holders.where(filter_fits(filters)).select("query_id", key, *keep, "n_terms")
     wanted = candidates.join(hint(numbered.select("query_id", "term_id")), "query_id")
-    present = wanted.join(doc_terms(postings, terms, key, stats=stats, small=small), [key, "term_id"])
+    hits = term_hits(postings.select(key, "token", "tf", "n_tokens"), terms, small)
+    present = hits.join(wanted, [key, "term_id"]).groupBy("query_id", key, *keep, "n_terms", "term_id").agg(
+        posting_weight(stats).alias("weight")
+    )
     # rounded, as the order of summing differs from run to run and would break ties
     grouped = present.groupBy("query_id", key, *keep).agg(
         F.count("*").alias("present"), F.max("n_terms").alias("n_terms"), F.round(F.sum("weight"), 6).alias("score")

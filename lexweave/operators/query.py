@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..functions.stemming import norwegian_stem
 
-EXACT, PREFIX = "exact", "prefix"
+EXACT, PREFIX, STEM = "exact", "prefix", "stem"
 
 
 def infer_filters(queries: DataFrame, bare_year: bool = False) -> DataFrame:
@@ -29,14 +30,15 @@ def expand_queries(queries: DataFrame, **tables) -> DataFrame:
     return queries.withColumn("text", rules.expand_terms("text", **tables))
 
 
-def build_match_plan(queries: DataFrame, mode: str = "default", extra: Column | None = None) -> DataFrame:
+def build_match_plan(queries: DataFrame, mode: str = "default", stop_words: list[str] | None = None) -> DataFrame:
     """``(query_id, ord, term, mode, n_terms)``: the terms a document has to contain.
 
     ``default``     words of three or more; three letters match as a prefix;
     ``split``       the same over pieces between white space;
     ``prefix_all``  every piece between blanks matches as a prefix;
-    ``robust``      the same from two letters on.
-    Terms are reduced to their letters and digits; repeated terms count once.
+    ``robust``      the same from two letters on;
+    ``stemmed``     the stems of words of three or more, each standing for all words with this stem.
+    Terms are reduced to their letters and digits; repeated terms count once.  Words in ``stop_words`` are no terms.
     """
     if mode == "default":
         terms = text.query_words("text")
@@ -47,8 +49,15 @@ def build_match_plan(queries: DataFrame, mode: str = "default", extra: Column |
     elif mode in ("prefix_all", "robust"):
         terms = clean_terms(text.split_words("text", 2 if mode == "robust" else 1))
         as_prefix = lambda term: F.length(term) > 0
+    elif mode == "stemmed":
+        terms = text.query_words("text")
+        as_prefix = lambda term: F.lit(False)
     else:
         raise ValueError(f"unknown mode {mode!r}")
+    if stop_words:
+        terms = F.filter(terms, lambda term: ~term.isin(stop_words))
+    if mode == "stemmed":
+        terms = F.array_distinct(F.transform(terms, norwegian_stem))
     listed = queries.select("query_id", terms.alias("terms"))
     return listed.select(
         "query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("ord", "term")
@@ -56,7 +65,7 @@ def build_match_plan(queries: DataFrame, mode: str = "default", extra: Column |
         "query_id",
         "ord",
         "term",
-        F.when(as_prefix(F.col("term")), PREFIX).otherwise(EXACT).alias("mode"),
+        F.when(as_prefix(F.col("term")), PREFIX).otherwise(STEM if mode == "stemmed" else EXACT).alias("mode"),
         "n_terms",
     )
 

@@ -73,6 +73,12 @@ def _best(
     return found[found["similarity"].notna()]
 
 
+def _merged(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of each query from two such tables; a task holds no more."""
+    both = pd.concat([left, right]).sort_values(["similarity", "id"], ascending=[False, True], kind="stable")
+    return both[both.groupby("query_id", sort=False).cumcount() < k]
+
+
 def _ids_schema(chunks: DataFrame, queries: DataFrame) -> str:
     return (
         f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
@@ -111,9 +117,13 @@ def vector_top(chunks: DataFrame, queries: DataFrame, k: int, query_block: int =
     shared = chunks.sparkSession.sparkContext.broadcast((known.drop(columns="vector"), _unit(known["vector"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
         for batch in batches:
             if len(batch):
-                yield _best(batch, *shared.value, k, filters)
+                found = _best(batch, *shared.value, k, filters)
+                best = found if best is None else _merged(best, found, k)
+        if best is not None:
+            yield best
 
     return _keep_best(rows.mapInPandas(scan, schema), k)
 

@@ -51,27 +51,30 @@ def index_corpus(rows: DataFrame, positions: bool = False) -> Corpus:
     )
 
 
-def plan_terms(corpus: Corpus, queries: DataFrame, mode: str = "default") -> tuple[DataFrame, DataFrame]:
+def plan_terms(
+    corpus: Corpus, queries: DataFrame, mode: str = "default", stop_words: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The term plan of the queries and the index words behind its terms."""
-    plan = query.build_match_plan(queries, mode)
+    plan = query.build_match_plan(queries, mode, stop_words)
     return plan, lexical.resolve_terms(plan, corpus.postings, corpus.dictionary)
 
 
 def lexical_matches(
-    corpus: Corpus, queries: DataFrame, mode: str = "default", keep: list[str] | None = None, scored: bool = True
+    corpus: Corpus, queries: DataFrame, mode: str = "default", keep: list[str] | None = None, scored: bool = True,
+    stop_words: list[str] | None = None,
 ) -> DataFrame:
-    plan, terms = plan_terms(corpus, queries, mode)
+    plan, terms = plan_terms(corpus, queries, mode, stop_words)
     stats = corpus.stats if scored else None
     return lexical.match_terms(corpus.postings, plan, terms, keep=keep, stats=stats, queries=queries)
 
 
 def ranked_branches(
     corpus: Corpus, queries: DataFrame, limit: int = 10, mode: str = "default",
-    phrase_first: bool = False, empty_policy: str = "none",
+    phrase_first: bool = False, empty_policy: str = "none", stop_words: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """The lexical and the vector list, each of twice the page size per query."""
     k = 2 * limit
-    plan, terms = plan_terms(corpus, queries, mode)
+    plan, terms = plan_terms(corpus, queries, mode, stop_words)
     matches = lexical.match_terms(corpus.postings, plan, terms, stats=corpus.stats, queries=queries)
     if phrase_first:
         phrases = lexical.match_phrase(corpus.postings, plan, terms, matches)

@@ -28,6 +28,8 @@ def get_session(app_name: str = "lexweave", master: str | None = None, **conf) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # A table bucketed by one key is joined by this and more keys without being dealt out anew.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():

@@ -8,6 +8,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from lexweave.functions import stemming
 from lexweave.operators import fusion, lexical, query, ranking, vector
 from lexweave.plans import search
 
@@ -158,6 +159,74 @@ def test_plan_shapes(chunks, queries):
     assert "WindowGroupLimit" in plan and "Python" not in plan
 
 
+def joins_of_terms(df):
+    """What stands below each join by chunk and term, down to the first file that is read."""
+    lines = plan_of(df).split("\n")
+    found = []
+    for at, line in enumerate(lines):
+        if re.search(r"(SortMergeJoin|ShuffledHashJoin) \[id#\d+L?, term_id#", line):
+            scan = next(i for i in range(at, len(lines)) if "FileScan" in lines[i])
+            found.append(lines[at : scan + 1])
+    return found
+
+
+def test_postings_meet_candidates_inside_their_bucket(chunks, queries, spark):
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # as get_session sets it
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lexical.write_postings(lexical.build_postings(chunks), "candidate_postings", 4)
+        stored = spark.table("candidate_postings")
+        plan = query.build_match_plan(queries)
+        terms = lexical.resolve_terms(plan, stored)
+        matches = lexical.match_terms(stored, plan, terms)
+        below = joins_of_terms(matches)
+        assert below and all("Exchange hashpartitioning" not in line for lines in below for line in lines)
+        assert all("candidate_postings" in lines[-1] for lines in below)
+        assert pairs(matches) == expected_all()
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS candidate_postings")
+
+
+def test_prefixes_of_every_length_meet_by_equality(spark):
+    words = ["a", "ab", "abc", "abcdefghijklmn", "abcdefghijklmno", "xabc", "b"]
+    chunks = spark.createDataFrame(list(enumerate(words)), "id long, content string")
+    asked = ["abcdefghijklmno"[:size] for size in range(1, 13)] + ["zz", "xa"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    postings = lexical.build_postings(chunks, positions=False)
+    plan = query.build_match_plan(queries, "prefix_all")
+    terms = lexical.resolve_terms(plan, postings)
+    want = {(q, at) for q, prefix in enumerate(asked) for at, word in enumerate(words) if word.startswith(prefix)}
+    assert pairs(lexical.match_terms(postings, plan, terms)) == want
+
+
+# --- stems --------------------------------------------------------------------
+
+STEMS = {
+    "ekteskapet": "ekteskap", "ekteskap": "ekteskap", "havnedistriktene": "havnedistrikt", "havnemyndighetene": "havnemynd",
+    "havnefunksjoner": "havnefunksjon", "havnekassa": "havnekass", "havnekassens": "havnekass", "havnefylkes": "havnefylk",
+    "opninga": "opning", "opparbeidet": "opparbeid", "lov": "lov", "loven": "lov", "lovene": "lov", "av": "av", "": "",
+    "krevd": "krevd", "opplevert": "opplever", "krdt": "krdt", "godkjendt": "godkjend", "bøkers": "bøk", "taks": "taks", "kirks": "kirk", "gass": "gass", "xyz": "xyz",
+}
+
+
+def test_stems(column):
+    words = list(STEMS)
+    assert column(words, "word string", stemming.norwegian_stem("word")) == list(STEMS.values())
+    assert column([None], "word string", stemming.norwegian_stem("word")) == [None]
+
+
+def test_stemmed_search_finds_inflected_words(spark):
+    texts = ["lov om ekteskap", "ekteskapets oppløsning", "ekteskapene og lovene", "arv", "ekteskapelig"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    queries = spark.createDataFrame([(1, "ekteskapet"), (2, "loven om ekteskapet"), (3, "om og av")], "query_id long, text string")
+    corpus = search.index_corpus(chunks)
+    found = pairs(search.lexical_matches(corpus, queries, "stemmed", stop_words=lexical.language_stop_words()))
+    # the rules cut -elig too
+    assert found == {(1, 0), (1, 1), (1, 2), (1, 4), (2, 0), (2, 2)}
+
+
 def test_empty_plan_policy(chunks, queries):
     plan = query.build_match_plan(queries)
     asked_nothing = {q for q, asked in enumerate(ASKED) if not terms_of(asked)}
@@ -207,6 +276,16 @@ def test_exact_top(spark, hot):
     assert by_query(vector.vector_top(chunks, queries, 9, query_block=2)) == expected
 
 
+def test_a_task_gives_k_rows_of_a_query(spark):
+    data, asked, chunks, queries = vectors(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        top = vector.vector_top(chunks.coalesce(1), queries, 9)
+        assert by_query(top) == expected_top(data, asked, 9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_exact_top_does_not_join(spark):
     _, _, chunks, queries = vectors(spark)
     plan = plan_of(vector.vector_top(chunks, queries, 9))
