@@ -29,20 +29,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side
-from .common import discard, materialize
+from .common import discard, materialize, text_slices
 from .components import components
 
 # Sets of one block of rows, and columns multiplied at once.
 BLOCK = 256
 COLUMNS = 4096
 # Words whose hashes a task remembers, and hashes it hands over at once.
-CACHED_WORDS = 1 << 20
-SLICE_HASHES = 1 << 20
+CACHED_WORDS = 1 << 16
+SLICE_HASHES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -146,17 +147,32 @@ def block_keys(grams: np.ndarray, settings: Settings) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def _flushed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    # As objects: a missing number would turn its whole column into floats, which cannot hold hashes.
+def _lists(values: list[np.ndarray | None]) -> pa.Array:
+    """Arrays of numbers, or nulls, as a column of lists."""
+    sizes = np.array([0 if value is None else len(value) for value in values], np.int32)
+    offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    held = [value for value in values if value is not None]
+    missing = pa.array([value is None for value in values], pa.bool_())
+    flat = np.concatenate(held) if held else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()), mask=missing)
+
+
+def _flushed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size; the last of ``columns`` holds arrays of numbers or None, the others numbers or None."""
+
+    def given(held: list[tuple]) -> pa.RecordBatch:
+        *numbers, lists = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(column, pa.int64()) for column in numbers), _lists(list(lists))], columns)
+
     held, weight = [], 0
     for row in rows:
         held.append(row)
         weight += 64 if row[-1] is None else 64 + len(row[-1])
         if weight >= SLICE_HASHES:
-            yield pd.DataFrame(held, columns=columns, dtype=object)
+            yield given(held)
             held, weight = [], 0
     if held:
-        yield pd.DataFrame(held, columns=columns, dtype=object)
+        yield given(held)
 
 
 def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,29 +183,27 @@ def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
     A task gives the keys of equal sets once, for a row with an id.
     """
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = _Hashes(), set()
 
         def rows():
-            for batch in batches:
-                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for part in text_slices(batches):
+                for doc_id, text in zip(*(part.column(name).to_pylist() for name in ("doc_id", "text")), strict=True):
                     grams = shingles(text, settings.words, cache)
                     if not len(grams):
                         yield doc_id, 0, None, 0, None
                         continue
                     node = _node(grams)
-                    known = not pd.isna(doc_id)  # rows without an id link with nothing and stand for no other
+                    known = doc_id is not None  # rows without an id link with nothing and stand for no other
                     fresh = known and node not in seen
                     if known:
                         seen.add(node)
                     yield doc_id, len(grams), node, least_equal(len(grams), settings), block_keys(grams, settings).view(np.int64) if fresh else None
 
-        columns = ["doc_id", "n_shingles", "node", "least", "keys"]
-        for part in _flushed(rows(), columns):
-            yield part.astype({"doc_id": "Int64", "node": "Int64"})
+        yield from _flushed(rows(), ["doc_id", "n_shingles", "node", "least", "keys"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return source.mapInPandas(sign, "doc_id bigint, n_shingles bigint, node bigint, least bigint, keys array<bigint>")
+    return source.mapInArrow(sign, "doc_id bigint, n_shingles bigint, node bigint, least bigint, keys array<bigint>")
 
 
 def _node(grams: np.ndarray) -> int:
@@ -206,13 +220,13 @@ def _sets(docs: DataFrame, chosen: DataFrame, settings: Settings, node: str) ->
     names = [name for name in chosen.columns if name != "doc_id"]
     at = names.index(node)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
 
         def rows():
             last, grams, name = None, None, None
-            for batch in batches:
-                for doc_id, text, *others in batch.itertuples(index=False, name=None):
+            for part in text_slices(batches):
+                for doc_id, text, *others in zip(*(column.to_pylist() for column in part.columns), strict=True):
                     if (doc_id, text) != last:
                         last, grams = (doc_id, text), shingles(text, settings.words, cache).view(np.int64)
                         name = _node(grams)
@@ -223,8 +237,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, settings: Settings, node: str) ->
 
     schema = ", ".join(f"{name} bigint" for name in names)
     return (
-        docs.join(small_side(chosen), "doc_id").select("doc_id", "text", *names)
-        .mapInPandas(hashed, f"{schema}, grams array<bigint>")
+        docs.join(small_side(chosen), "doc_id").select("doc_id", "text", *(F.col(name).cast("long") for name in names))
+        .mapInArrow(hashed, f"{schema}, grams array<bigint>")
     )
 
 

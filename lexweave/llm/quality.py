@@ -16,14 +16,13 @@ unless one has the name of an output column, which is replaced.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, with_text_results
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 LABELLERS = ["capitals", "symbols", "separators", "neighbours", "lines", "compression", "endings", "words"]
@@ -94,12 +93,12 @@ def _pattern(text: str) -> str:
 def weak_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(pattern, key)`` of every row: its votes as digits, and a hash of its text to choose samples by."""
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"pattern": batch["text"].map(_pattern), "key": batch["key"]})
+    def label(texts: list[str]) -> list[pa.Array]:
+        return [pa.array([_pattern(text) for text in texts], pa.string())]
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(text.alias("text"), F.xxhash64(text).alias("key")).mapInPandas(label, "pattern string, key bigint")
+    keyed = docs.select(text.alias("text"), F.xxhash64(text).alias("key"))
+    return with_text_results(keyed, "text", T.StructType().add("pattern", T.StringType()), label).select("pattern", "key")
 
 
 def fit_labellers(patterns: list[str], counts: list[int], rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -197,16 +196,15 @@ def score(docs: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCU
     kept = [name for name in docs.columns if name not in ("quality", "keep")]
     source = docs.select(*kept)
     model = fit(docs, text_col, fit_documents)
-    schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in source.schema)
     if model is None:
         return source.withColumns({"quality": F.lit(None).cast("double"), "keep": F.lit(None).cast("boolean")})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(texts: list[str]) -> list[pa.Array]:
         weights, bias = shared.value
-        for batch in batches:
-            logits = np.array([float(features(text) @ weights) + bias for text in batch[text_col].fillna("")])
-            quality = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-            yield batch.assign(quality=quality, keep=quality >= 0.5)
+        logits = np.array([float(features(text) @ weights) + bias for text in texts])
+        quality = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+        return [pa.array(quality), pa.array(quality >= 0.5)]
 
-    return source.mapInPandas(scored, f"{schema}, quality double, keep boolean")
+    added = T.StructType().add("quality", T.DoubleType()).add("keep", T.BooleanType())
+    return with_text_results(source, text_col, added, scored)

@@ -25,9 +25,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import with_text_results
 
 WORD = re.compile(r"\w+")
 
@@ -52,7 +55,7 @@ class Settings:
 
 
 # Characters whose words are held at once, and windows computed at once.
-BLOCK_CHARS = 2 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_WINDOWS = 4096
 
 
@@ -408,14 +411,10 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             {"score": F.lit(share), "predicted": F.lit(int(share >= 0.5)), "worst_window": F.lit(0).cast("long")}
         )
     model = docs.sparkSession.sparkContext.broadcast(train(texts, truth, settings))
-    schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in source.schema)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        network = model.value
-        for batch in batches:
-            sizes = batch["text"].str.len().fillna(0).cumsum()
-            for _, block in batch.groupby((sizes // BLOCK_CHARS).to_numpy(), sort=False):
-                scores, worst = score_block(network, block["text"].fillna("").tolist())
-                yield block.assign(score=scores, predicted=(scores >= 0.5).astype("int32"), worst_window=worst)
+    def scored(texts: list[str]) -> list[pa.Array]:
+        scores, worst = score_block(model.value, texts)
+        return [pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32()), pa.array(worst, pa.int64())]
 
-    return source.mapInPandas(scored, f"{schema}, score double, predicted int, worst_window bigint")
+    added = T.StructType().add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("worst_window", T.LongType())
+    return with_text_results(source, "text", added, scored, BLOCK_BYTES)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import xxhash
 
@@ -45,6 +46,48 @@ def brute(docs):
     return result
 
 
+def brute_registered(docs, words=line_dedup.PASSAGE_WORDS):
+    """Chunks of several lines and passages of whole lines together, as the query and the pipeline ask for them; ids are unique."""
+    runs = {}
+    for doc_id, text in docs:
+        if doc_id is None or text is None:
+            continue
+        lines, spans, at = text.split("\n"), set(), 0
+        for part in brute_chunks(text):
+            upto = at + part.count("\n") + 1
+            if upto - at > 1:
+                spans.add((at, upto))
+            at = upto
+        counts = [len(re.findall(r"[^\x20\x09-\x0D]+", line)) for line in lines]
+        for i, count in enumerate(counts):
+            if count > words:
+                spans.add((i, i + 1))
+                continue
+            spans |= set([(i, j) for j in range(i + 1, len(lines) + 1) if sum(counts[i:j]) > words][:1])
+            spans |= set([(j, i + 1) for j in range(i, -1, -1) if sum(counts[j : i + 1]) > words][:1])
+        runs[doc_id] = {span for span in spans if any(c.isalnum() for c in "".join(lines[span[0] : span[1]]))}
+    first = {}
+    texts = dict(docs)
+    for doc_id in sorted(runs):
+        for a, b in sorted(runs[doc_id]):
+            first.setdefault("\n".join(texts[doc_id].split("\n")[a:b]), (doc_id, a, b))
+    result = dict(docs)
+    for doc_id, spans in runs.items():
+        lines, gone = texts[doc_id].split("\n"), set()
+        for a, b in spans:
+            if first["\n".join(lines[a:b])] != (doc_id, a, b):
+                gone |= set(range(a, b))
+        result[doc_id] = "\n".join(line for at, line in enumerate(lines) if at not in gone)
+    return result
+
+
+def test_registered_setting_against_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = [(row["doc_id"], row["text"]) for row in table.select("doc_id", "text").collect()]
+    found = line_dedup.dedup_lines(table.select("doc_id", "text"), words=line_dedup.PASSAGE_WORDS).collect()
+    assert {row["doc_id"]: row["text"] for row in found} == brute_registered(docs)
+
+
 def corpus():
     rng = random.Random(3)
     passages = [[f"passage {p} line {i} of words" for i in range(9)] for p in range(4)]

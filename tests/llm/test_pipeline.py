@@ -5,8 +5,7 @@ import corpus_pipeline
 import pytest
 
 from lexweave.llm import packing
-from test_line_dedup import brute as brute_lines
-from test_ngram_join import brute as brute_groups
+from test_line_dedup import brute_registered
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -38,11 +37,10 @@ def test_filters_keep_clean_documents(spark, stages):
 
 def test_lines_and_groups_against_brute_force(stages):
     texts = [{row["doc_id"]: row["text"] for row in docs.collect()} for _, docs in stages[2:5]]
-    cleaned = brute_lines(list(texts[0].items()))
+    cleaned = brute_registered(list(texts[0].items()))
     assert texts[1] == {at: text for at, text in cleaned.items() if text or not texts[0][at]}
     ids = sorted(texts[1])
-    groups = brute_groups([texts[1][at] for at in ids])
-    kept = {ids[place] for place, (_, first) in groups.items() if place == first}
+    kept = {ids[place] for place in near_groups([texts[1][at] for at in ids], 5, 0.8)}
     assert set(texts[2]) == kept and all(texts[2][at] == texts[1][at] for at in kept)
 
 
