@@ -16,16 +16,19 @@ smallest id is the response, others are revisits that name it.
 Nulls and edge cases: a null html is an empty payload; null ids are kept (never the
 response others refer to); a null url is an empty target; repeated rows give a record each.
 An empty table gives no files and reads back as an empty table.  A broken member is skipped like
-any bytes that are no record.
+any bytes that are no record.  In archives of others, records that are neither response nor revisit are passed over,
+digests may be SHA-256 (hex) or SHA-1 (base 32 or hex) or absent, and ids that are not ours are null.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +45,7 @@ MAX_TASKS = 20_000
 # Bytes of records a task hands over at once.
 SLICE_BYTES = 8 << 20
 
+NUMBERS = ["page_id", "refers_to", "payload_bytes"]
 FOUND = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
 
@@ -67,7 +71,9 @@ def with_first(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(
+    page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z"
+) -> bytes:
     """One WARC record as a gzip member; a revisit has the HTTP header only, which tells the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
@@ -78,6 +84,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {target}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -94,6 +101,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes ``pages`` below ``folder``, one file per task, and returns ``(path, records, bytes)`` of the files."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -110,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
                     file = store.open_output_stream(place, compression=None)
                 member = record(
                     None if pd.isna(page_id) else int(page_id), url, payload, digest,
-                    None if pd.isna(refers_to) else int(refers_to),
+                    None if pd.isna(refers_to) else int(refers_to), date,
                 )
                 file.write(member)
                 records, size = records + 1, size + len(member)
@@ -118,14 +126,16 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
             file.close()
             yield pd.DataFrame({"path": [path], "records": [records], "bytes": [size]})
 
-    return with_first(pages, min_bytes).mapInPandas(write, "path string, records bigint, bytes bigint")
+    # Ids travel as text, since pandas would round big ones beside a null.
+    named = with_first(pages, min_bytes).withColumns({name: F.col(name).cast("string") for name in ("page_id", "refers_to")})
+    return named.mapInPandas(write, "path string, records bigint, bytes bigint")
 
 
 class _Window:
     """Bytes of a file from a place on, read as they are asked for and let go behind."""
 
     def __init__(self, file, size: int, start: int):
-        self.file, self.size, self.start, self.data = file, size, start, b""
+        self.file, self.size, self.start, self.data = file, size, start, bytearray()
         file.seek(start)
 
     def more(self) -> bool:
@@ -134,7 +144,8 @@ class _Window:
         return bool(read)
 
     def let_go(self, until: int) -> None:
-        self.data, self.start = self.data[until - self.start :], until
+        del self.data[: until - self.start]
+        self.start = until
 
     def find_magic(self, at: int, end: int) -> int:
         """The first magic at ``at`` or later that starts before ``end``, or -1."""
@@ -171,31 +182,53 @@ class _Window:
                 return b"".join(out), self.start + place
 
 
+def _digest_holds(payload: bytes, declared: str) -> bool:
+    """Whether a payload has the digest its record declares; a missing or unknown kind cannot be held against it."""
+    kind, _, value = declared.partition(":")
+    if kind.lower() == "sha256":
+        return hashlib.sha256(payload).hexdigest() == value.lower()
+    if kind.lower() == "sha1":
+        digest = hashlib.sha1(payload)  # noqa: S324  (what archives use)
+        return value.upper() == base64.b32encode(digest.digest()).decode() or value.lower() == digest.hexdigest()
+    return True
+
+
+def _page_number(urn: str) -> int | None:
+    """The page id in a record's name, null if it is none of ours."""
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", urn)
+    return int(found[1]) if found else None
+
+
 def _parsed(raw: bytes) -> tuple | None:
+    """The row of a response or revisit; None for other records, and for those whose length or digest is wrong."""
     head, gap, body = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or not lines[0].startswith("WARC/"):
         return None
-    fields = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-    block = body[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    number = lambda name: next(iter(re.findall(r"<urn:page:(\d+)>", fields.get(name, ""))), None)
-    ours, other = number("WARC-Record-ID"), number("WARC-Refers-To")
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
+    named = (line.partition(":") for line in lines[1:] if ":" in line)
+    fields = {name.strip().lower(): value.removeprefix(" ") for name, _, value in named}
+    kind, size = fields.get("warc-type", "").strip(), fields.get("content-length", "").strip()
+    if kind not in ("response", "revisit") or not size.isdecimal() or len(body) < int(size):
         return None
-    return (
-        None if ours is None else int(ours), fields.get("WARC-Target-URI", ""), fields["WARC-Type"],
-        None if other is None else int(other), length, digest, None if revisit else payload,
-    )
+    block, declared = body[: int(size)], fields.get("warc-payload-digest", "")
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        told = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)", http)
+    else:
+        payload, told = block, None
+    row = (_page_number(fields.get("warc-record-id", "")), fields.get("warc-target-uri", ""), kind)
+    if kind == "revisit":
+        other = _page_number(fields.get("warc-refers-to", ""))
+        return *row, other, int(told[1]) if told else None, declared.removeprefix("sha256:") or None, None
+    if told and int(told[1]) != len(payload) or not _digest_holds(payload, declared):
+        return None
+    return *row, None, len(payload), hashlib.sha256(payload).hexdigest(), payload
 
 
 def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of ``files`` (``path``, ``bytes``), with payloads checked against their digests.
 
-    Revisits have no payload; length and digest are those of the payload they refer to.
+    Revisits have no payload; length and digest are those of the payload they refer to, as far as the record tells them.
     """
     names = FOUND.split(", ")
     columns = [name.split(" ")[0] for name in names]
@@ -221,10 +254,10 @@ def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
                         weight += len(member[0])
                         at = member[1]
                         if weight >= SLICE_BYTES:
-                            yield pd.DataFrame(held, columns=columns, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield pd.DataFrame(held, columns=columns, dtype=object).astype({name: "Int64" for name in NUMBERS})
                             held, weight = [], 0
         if held:
-            yield pd.DataFrame(held, columns=columns, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(held, columns=columns, dtype=object).astype({name: "Int64" for name in NUMBERS})
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start")
     ranges = files.where("bytes > 0").select("path", "bytes", starts)
@@ -237,8 +270,9 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BY
     """Writes ``pages`` as archives and returns the table of files, which is kept beside them."""
     spark = pages.sparkSession
     folder = folder or scratch_dir(spark, "warc")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    # Without a scheme, the tasks must write where Spark does.
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     files = write_archives(pages, f"{folder}/archives", min_bytes)
     files.write.parquet(f"{folder}/files")
     return spark.read.parquet(f"{folder}/files")

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -13,6 +14,7 @@ def pages():
     rows += [(100 + at, "http://again/", html[at % 7]) for at in range(30)]
     rows += [(200, None, None), (201, "http://e\r\nvil: 1", ""), (202, "u", "short"), (203, "u", "short"), (204, "u", "é" * 50)]
     rows += [(205, "u", "é" * 50), (206, "big", "z" * 300_000), (206, "big", "z" * 300_000), (None, "u", html[0])]
+    rows += [(-5, "u", html[1]), (-(1 << 63), "u", "n" * 120), ((1 << 63) - 1, "u", "n" * 120), ((1 << 53) + 1, "u", "odd")]
     # Payloads that hold what looks like the start of a record.
     return rows + [(300, "trap", "\x1f\x8b\x08 WARC/1.1\r\n\r\n" * 40)]
 
@@ -61,6 +63,26 @@ def test_members_are_plain_gzip_and_junk_is_passed_over():
     assert seen == [5]
 
 
+def foreign(kind, payload, *more, http=b"HTTP/1.1 200 OK\r\n\r\n", content="application/http;msgtype=response"):
+    block = http + payload
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1b2c>", f"Content-Type: {content}", f"Content-Length: {len(block)}", *more]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers():
+    body = b"<p>hello</p>"
+    sha256, sha1 = hashlib.sha256(body).hexdigest(), base64.b32encode(hashlib.sha1(body).digest()).decode()
+    want = (None, "http://a/", "response", None, len(body), sha256, body)
+    for more in ([], [f"WARC-Payload-Digest: sha1:{sha1}"], [f"warc-payload-digest: sha256:{sha256}"], ["WARC-Payload-Digest: md5:0"]):
+        assert warc._parsed(foreign("response", body, "WARC-Target-URI: http://a/", *more)) == want
+    assert warc._parsed(foreign("response", body, "WARC-Payload-Digest: sha1:" + "A" * 32)) is None
+    assert warc._parsed(foreign("warcinfo", b"software: x", http=b"", content="application/warc-fields")) is None
+    assert warc._parsed(foreign("request", b"GET /", http=b"")) is None
+    assert warc._parsed(foreign("response", body)[:-20]) is None  # cut off
+    assert warc._parsed(foreign("revisit", b"", f"WARC-Payload-Digest: sha1:{sha1}"))[2:6] == ("revisit", None, None, f"sha1:{sha1}")
+    assert b"WARC-Date: 2" in gzip.decompress(warc.record(1, "u", b"", "0", None, "2024-01-01T00:00:00Z"))
+
+
 def test_empty_table_and_extra_columns(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string, digest string")
     assert warc.read_archives(spark, warc.archive(none)).count() == 0
