@@ -40,20 +40,20 @@ SLICE = 4096
 
 
 def token_encoder(path: str | None = None, pattern: str | None = None):
-    """The byte-level vocabulary of a tokenizer file as a fast encoder; special tokens count as text."""
+    """The byte-level vocabulary of a tokenizer file as a fast encoder; a text is split at its added tokens first."""
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         described = json.load(file)
-    special = {token["content"] for token in described.get("added_tokens", [])}
+    special = {token["content"]: token["id"] for token in described.get("added_tokens", [])}
     ranks = {
         bytes(_BYTES[char] for char in token): at
         for token, at in described["model"]["vocab"].items()
         if token not in special
     }
     return tiktoken.Encoding(
-        "file", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "file", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
     )
 
 
@@ -79,7 +79,7 @@ def pieces(
         held = []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encoder.encode_to_numpy(text, disallowed_special=()), np.uint32(END)).astype("<u4")
+                ids = np.append(encoder.encode_to_numpy(text, allowed_special="all"), np.uint32(END)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
                     row = (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids))
