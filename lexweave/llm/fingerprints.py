@@ -132,30 +132,53 @@ def edited(text: Column, following: Column) -> Column:
     )
 
 
+def range_ends(ids: DataFrame, id_col: str, ranges: int) -> list[int]:
+    """Up to ``ranges - 1`` ids that cut a table into ranges of about equal numbers of rows, wherever the ids lie."""
+    if ranges < 2:
+        return []
+    # The shares as one folded literal; there may be many.
+    shares = F.split(F.lit(",".join(str(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
+    found = ids.agg(F.percentile_approx(id_col, shares, F.lit(max(10_000, 4 * ranges)))).first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(value: Column, ends: list[int]) -> Column:
+    """How many of the sorted ``ends`` are below ``value``, found in two steps of about the root of their number."""
+    width = max(1, math.isqrt(len(ends)))
+    blocks = [ends[at : at + width] for at in range(0, len(ends), width)] or [[]]
+
+    def numbers(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda end: end < value))
+
+    table = F.transform(F.split(F.lit(";".join(",".join(map(str, block)) for block in blocks)), ";"), lambda block: F.split(block, ",").cast("array<bigint>"))
+    if len(blocks) == 1:
+        return below(numbers(blocks[0])).cast("long")
+    # Whole blocks before the one that holds the place, then places within it.
+    last = numbers([block[-1] for block in blocks])
+    return _let(below(last), lambda at: at * width + F.coalesce(below(F.get(table, at)), F.lit(0))).cast("long")
+
+
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS, max_ranges: int = MAX_RANGES) -> DataFrame:
     """``(doc_id, text, range, guest)``: documents by ranges of ids, each range with a guest, the document that follows its last.
 
     Documents follow each other by descending id, and the first follows the last.
-    Ranges are equal steps between the smallest and the largest id; ids that
-    crowd together make a range longer, never wrong.
+    Ranges end at quantiles of the ids, which may span all longs and crowd anywhere; rows that share an id
+    (or have none) share a range.
     """
     source = texts(docs)
-    low, high, count = source.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None:
-        low = high = 0
-    ranges = min(max_ranges, max(1, math.ceil(count / range_rows)))
-    step = (high - low) // ranges + 1
-    own = F.coalesce(F.floor((F.col("doc_id") - low) / step), F.lit(-1)).cast("long")
+    count = source.agg(F.count("doc_id")).first()[0]
+    ends = range_ends(source, "doc_id", min(max_ranges, max(1, math.ceil(count / range_rows))))
+    own = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(range_of(F.col("doc_id"), ends))
     # The highest document of each range is the guest of the next range above it; of the highest, in the lowest.
-    ids = source.select(F.coalesce("doc_id", F.lit(low - 1)).alias("id"), own.alias("range"))
-    tops = ids.groupBy("range").agg(F.max("id").alias("top"))
+    tops = source.select("doc_id", own.alias("range")).groupBy("range").agg(F.max("doc_id").alias("top"))
     above = F.lead("range").over(Window.orderBy("range"))
     lowest = F.min("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     guests = tops.select(F.col("range").alias("__range"), "top", F.coalesce(above, lowest).alias("visits"))
     joined = source.withColumn("range", own).join(
-        F.broadcast(guests),
-        (F.col("range") == F.col("__range")) & (F.coalesce("doc_id", F.lit(low - 1)) == F.col("top")),
-        "left",
+        F.broadcast(guests), (F.col("range") == F.col("__range")) & F.col("doc_id").eqNullSafe(F.col("top")), "left"
     )
     places = F.when(F.col("visits").isNull(), F.array(F.struct(F.col("range"), F.lit(False).alias("guest")))).otherwise(
         F.array(

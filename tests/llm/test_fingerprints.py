@@ -104,3 +104,29 @@ def test_odd_rows(spark, odd, none):
     single = fingerprints.fingerprint_edits(docs.limit(1)).first()
     assert single["anchors"] == single["next_anchors"]
     assert fingerprints.fingerprint_edits(none).count() == 0
+
+
+def test_ids_over_the_whole_long_range(spark):
+    """Hashed ids, an outlier beside crowded ids, nulls: the ranges are bounded and the order is kept."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    rng = random.Random(4)
+    for ids in ([low, high, *(rng.randrange(low, high) for _ in range(300))], [*range(400), high], [low, None, None, 5]):
+        docs = spark.createDataFrame([(at, f"text {place}") for place, at in enumerate(ids)], "doc_id long, text string")
+        placed = fingerprints.with_next(docs, range_rows=10)
+        sizes = [row["count"] for row in placed.groupBy("range").count().collect()]
+        assert max(sizes) <= 40 and (len(ids) < 100 or len(sizes) > 10)
+        found = {row["text"]: row["edited_text"] for row in fingerprints.fingerprint_edits(docs).collect()}
+        order = sorted(range(len(ids)), key=lambda at: (ids[at] is not None, ids[at] or 0, f"text {at}"), reverse=True)
+        for at, following in zip(order, order[1:] + order[:1], strict=True):
+            text, other = f"text {at}", f"text {following}"
+            half = len(text) // 2
+            assert found[text] == text[: len(text) - half] + other[:half]
+
+
+def test_range_of_many_ends(spark):
+    ends = sorted(random.Random(3).sample(range(-500, 500), 90))
+    values = list(range(-520, 520)) + [None]
+    rows = spark.createDataFrame([(value,) for value in values], "v long")
+    for chosen in (ends, ends[:1], []):
+        found = rows.where("v is not null").select("v", fingerprints.range_of(F.col("v"), chosen)).collect()
+        assert all(at == sum(end < value for end in chosen) for value, at in found)
