@@ -8,9 +8,9 @@ from ..functions import fixed_values as fixed
 from ..functions import links, rules, text
 from ..operators import evidence as ev
 from ..operators import ranking, vector
-from ..plans import assistant
+from ..plans import assistant, search
 from .base import DOCUMENTS_SQL, PHRASES, QUERIES_SQL, RWS, Tables, register, sql_list, sql_trim
-from .searching import EMBEDDED_SQL, NO_FILTERS_SQL, VECTORS_SQL, nearest_sql
+from .searching import EMBEDDED_SQL, LEXICAL_SQL, NO_FILTERS_SQL, VECTORS_SQL, fuse_sql, nearest_sql
 
 BASE_URL = "https://viewer.example"
 
@@ -207,6 +207,36 @@ def files(t: Tables):
     return ranking.searched_files(ranking.page_hits(hits(t)))
 
 
+def search_page_sql(size: int, pages: int, candidates: int) -> str:
+    """The first pages of a search, each reranked on its own as a caller asks for it."""
+    def one(number: int) -> str:
+        offset, name = (number - 1) * size, f"page_{number}"
+        return f"""{rerank_sql('boosted', f'{name}_ranked', offset + size + ranking.SERVICE_EXTRA)},
+        {name}_again AS (SELECT {number} AS page, * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY {TIER_SQL}, rank) AS rank) FROM {name}_ranked),
+        {name} AS (SELECT * FROM {name}_again WHERE rank > {offset} AND rank <= {offset + size})"""
+
+    numbers = range(1, pages + 1)
+    shown = " UNION ALL ".join(
+        f"SELECT page, query_id, rank, id, filename, member, title, snippet, {viewer_sql('filename', 'member')} AS url FROM page_{number}" for number in numbers
+    )
+    return f"""WITH {LEXICAL_SQL}, {VECTORS_SQL}, {EMBEDDED_SQL}, {nearest_sql(2 * candidates, 'embedded')}, {fuse_sql(60, candidates, 0)},
+    hits AS (SELECT p.query_id, p.id, p.rank, q.text AS query, archive_filename AS filename, member, {TITLE_SQL} AS title, {SNIPPET_SQL} AS snippet
+             FROM page p JOIN queries q USING (query_id) JOIN docs d ON d.id = p.id WHERE {sql_trim('content')} <> ''),
+    boosted AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY {TIER_SQL}, rank) AS rank) FROM hits),
+    {', '.join(map(one, numbers))} {shown}"""
+
+
+@register("h_search_page", search_page_sql(10, 2, ranking.CANDIDATES))
+def search_page(t: Tables):
+    """Pages 1 and 2 of every sentence."""
+    rows = t.embedded_documents().withColumn("document_title", title_of("archive_filename"))
+    corpus, queries = search.index_corpus(rows), t.vector_queries()
+    pages = [
+        search.search_page(corpus, queries, 10, page, BASE_URL).select(F.lit(page).alias("page"), "*").drop("date") for page in (1, 2)
+    ]
+    return pages[0].unionByName(pages[1])
+
+
 COUNTS_SQL = "counts AS (SELECT query_id, count(*) * 3 AS total FROM hits WHERE law_type = 'en' AND rank > 15 GROUP BY 1)"
 
 

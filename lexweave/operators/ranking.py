@@ -17,6 +17,8 @@ from ..functions import links, rules, text
 
 # What a remote ranking service takes and gives: hits scored at most, and hits returned beyond the page.
 SERVICE_LIMIT, SERVICE_EXTRA = 100, 5
+# Hits fetched for reranking where a page needs fewer.
+CANDIDATES = 50
 
 
 def drop_empty_content(hits: DataFrame) -> DataFrame:
@@ -96,15 +98,20 @@ def page_hits(hits: DataFrame, size: int = 10, offset: int = 0) -> DataFrame:
     return hits.where((F.col("rank") > offset) & (F.col("rank") <= offset + size))
 
 
-def shape_hits(hits: DataFrame, base_url: str) -> DataFrame:
-    """Search hits as the caller sees them: title with section, snippet, viewer address."""
-    return hits.select(
-        "query_id",
-        "rank",
+def shape_hits(rows: DataFrame, base_url: str, keys: tuple[str, ...] = ("query_id", "rank")) -> DataFrame:
+    """``rows`` as the caller of a search sees them, behind ``keys``: title with section, snippet, viewer address.
+
+    Columns that a table without sections or dates lacks count as null.
+    """
+    def known(name: str) -> Column:
+        return F.col(name) if name in rows.columns else F.lit(None).cast("string")
+
+    return rows.select(
+        *keys,
         F.col("archive_filename").alias("filename"),
         "member",
-        display_title("document_title", "section_title", "section_number").alias("title"),
-        F.col("document_date").alias("date"),
+        display_title(known("document_title"), known("section_title"), known("section_number")).alias("title"),
+        known("document_date").alias("date"),
         text.chunk_snippet("content").alias("snippet"),
         links.viewer_url("archive_filename", "member", base_url).alias("url"),
     )

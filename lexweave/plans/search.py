@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -122,6 +122,33 @@ def hybrid_search(
     return ranking.drop_empty_content(found)
 
 
+def search_page(
+    corpus: Corpus, queries: DataFrame, size: int = 10, page: int = 1, base_url: str = "", scorer=None,
+    reranked: bool = True, candidates: int = ranking.CANDIDATES, **options,
+) -> DataFrame:
+    """One page of results per query: hybrid search, base laws first, reranked, base laws first again, cut.
+
+    ``candidates`` hits are fetched, or as many as the page reaches to.  Without ``reranked`` the page is cut from
+    the fused order.  Rows with blank contents are no hits.  Returns
+    ``(query_id, rank, id, filename, member, title, date, snippet, url)``; ``rank`` counts over all pages.
+
+    Titles, snippets and addresses are made where the rows are read, so no text meets the hits.
+    """
+    offset = (page - 1) * size
+    wanted = max(candidates, offset + size)
+    hits = fused_hits(corpus, queries, wanted, **options).select("query_id", "id", "rank")
+    asked = queries.select("query_id", F.col("text").alias("query"))
+    hits = hits.join(asked, "query_id")
+    shown = ranking.shape_hits(ranking.drop_empty_content(corpus.rows), base_url, ("id",))
+    found = shown.join(small_side(hits, rows=queries.count() * wanted), "id")
+    if reranked:
+        found = ranking.rerank_then_boost_page(found, scorer, size, offset)
+    else:
+        renumbered = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        found = ranking.page_hits(found.withColumn("rank", renumbered), size, offset)
+    return found.select("query_id", "rank", "id", "filename", "member", "title", "date", "snippet", "url")
+
+
 def type_searches(
     corpus: Corpus, queries: DataFrame, types: list[str], limit: int = 10, **options
 ) -> DataFrame:

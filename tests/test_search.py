@@ -397,3 +397,28 @@ def test_failing_scorer_keeps_the_order(spark):
 
     found = ranking.rerank(hit_rows(spark), broken, size=1, extra=5).orderBy("rank").collect()
     assert [row["index"] for row in found] == [0, 1, 2, 4, 5, 6]
+
+
+def test_search_page(spark):
+    """Pages follow each other without gaps, reach beyond the usual candidates, and blank rows are no hits."""
+    titles = ["Lov om endring", "Lov 4. juli 1991 nr. 47 om ekteskap", None, "Vedtak"]
+    rows = spark.createDataFrame(
+        [(at, f"ekteskap {'ekteskap ' * (at % 5)}rad {at}" if at != 7 else " ", f"a{at}", f"m{at}.xml", titles[at % 4]) for at in range(90)],
+        "id long, content string, archive_filename string, member string, document_title string",
+    )
+    asked = spark.createDataFrame([(1, "ekteskap")], "query_id long, text string")
+    corpus = search.index_corpus(rows)
+    tier = lambda row: {0: 2, 1: 0}.get(row["id"] % 4, 1)
+
+    def pages(**options):
+        return [search.search_page(corpus, asked, 30, page, "https://v", **options).orderBy("rank").collect() for page in (1, 2, 3)]
+
+    plain = pages(reranked=False)
+    everything = [row for page in plain for row in page]
+    assert [row["rank"] for row in everything] == list(range(1, 90)) and {row["id"] for row in everything} == {*range(90)} - {7}
+    first = pages()[0]
+    assert [row["rank"] for row in first] == list(range(1, 31)) and list(map(tier, first)) == sorted(map(tier, first))
+    assert first[0]["title"] == titles[1] and first[0]["url"] == f"https://v/api/documents/xml?filename=a{first[0]['id']}&member=m{first[0]['id']}.html"
+    # A scorer that fails leaves the boosted order.
+    failing = pages(scorer=lambda asked, texts: [])[0]
+    assert list(map(tier, failing)) == sorted(map(tier, failing))
