@@ -34,6 +34,22 @@ def pack_documents(documents, prefix: str):
     return columns.mapInPandas(pack, "archive_filename string, content binary")
 
 
+def zipped(members):
+    """``(archive_filename, content)``: the members ``(archive, member, content)`` of each archive as a zip file.
+
+    For archives that are known to be small; each is put together by one task.
+    """
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, content in zip(group["member"], group["content"]):
+                archive.writestr(name, content)
+        return pd.DataFrame({"archive_filename": [group["archive"].iloc[0] + ".zip"], "content": [buffer.getvalue()]})
+
+    return members.groupBy("archive").applyInPandas(pack, "archive_filename string, content binary")
+
+
 @register(
     "a1_read_archives",
     "SELECT 'd' || doc_id || '.xml' AS member, length(text) AS n_chars, md5(text) AS raw_md5 FROM documents",

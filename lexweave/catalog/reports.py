@@ -11,7 +11,7 @@ from ..session import materialize, scratch_dir
 from ..sources import manifest
 from ..streaming import jobs
 from .base import DOCUMENTS_SQL, Tables, register, sql_trim
-from .ingest import pack_documents, walk_sql
+from .ingest import pack_documents, walk_sql, zipped
 
 
 # --- J ----------------------------------------------------------------------
@@ -382,6 +382,80 @@ def consent_stream(t: Tables):
     return t.spark.read.parquet(f"{out}/batch={newest}").select("user_id", "event_id", "consent_date", "data_processing")
 
 
+COUNTED = ["documents", "recorded", "rejects", "errors"]
+BLOCK = 1000
+
+
+@register(
+    "m1_ingest_replaced",
+    f"""WITH archives AS (SELECT source || '-' || doc_id // {BLOCK} AS archive, source, count(*) AS n,
+      CAST(substr(source, 4) AS INT) % 2 = 1 AS odd FROM documents GROUP BY ALL)
+    SELECT archive AS archive_filename, CASE WHEN odd THEN n ELSE 0 END AS documents, CASE WHEN odd THEN n ELSE 0 END AS recorded,
+      CASE WHEN odd THEN 0 ELSE n END AS rejects, 0 AS errors FROM archives
+    UNION ALL SELECT 'first-' || archive, n, n, 0, 0 FROM archives
+    UNION ALL SELECT DISTINCT 'broken-' || source, 0, 0, 0, 1 FROM archives""",
+)
+def ingest_replaced(t: Tables):
+    """Counts per archive in the tables of an ingest in two runs, where the second replaces archives of the first.
+
+    An archive holds the documents of a source and a block of ids.  The first run brings each twice, under two names.
+    The second brings one of them again: for odd sources the same, for even ones only members with too long a name,
+    so that the archive is emptied; and a broken archive for each source.
+    """
+    arriving, target, state = (scratch_dir(t.spark, name) for name in ("archives", "ingested", "ingest-state"))
+    archive = F.concat_ws("-", "archive_filename", F.floor(F.col("id") / BLOCK))
+    given = t.documents().select("archive_filename", archive.alias("archive"), "member", F.coalesce("content", F.lit("")).alias("content"))
+    odd = F.substring("archive_filename", 4, 9).cast("int") % 2 == 1
+    too_long = F.concat(F.repeat(F.lit("m"), 1001), "member")
+    first = given.drop("archive_filename")
+    first = first.unionByName(first.withColumn("archive", F.concat(F.lit("first-"), "archive")))
+    again = given.withColumn("member", F.when(odd, F.col("member")).otherwise(too_long)).drop("archive_filename")
+    broken = given.select(F.concat(F.lit("broken-"), "archive_filename", F.lit(".zip")).alias("archive_filename")).distinct()
+    broken = broken.withColumn("content", F.lit("none").cast("binary"))
+    for arrived in (zipped(first), zipped(again).unionByName(broken)):
+        arrived.write.mode("append").parquet(arriving)
+        files = t.spark.readStream.schema("archive_filename string, content binary").parquet(arriving)
+        jobs.ingest_stream(files, target, state).awaitTermination()
+    parts = None
+    for table, name in (("documents", "documents"), ("archives", "recorded"), ("rejects", "rejects"), ("errors", "errors")):
+        found = F.col("document_count") if name == "recorded" else F.lit(1).cast("long")
+        counts = [(found if other == name else F.lit(0).cast("long")).alias(other) for other in COUNTED]
+        key = F.replace(F.col(jobs.INGESTED[table]), F.lit(".zip"), F.lit("")).alias("archive_filename")
+        part = jobs.ingested(t.spark, target, table).select(key, *counts)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("archive_filename").agg(*[F.sum(name).alias(name) for name in COUNTED])
+
+
+@register("m3_consents_over_batches", f"WITH {LATEST_SQL} SELECT user_id, event_id, consent_date, data_processing FROM latest")
+def consents_over_batches(t: Tables):
+    """The events arrive in four files without order, one per batch, so old users come again and older records late."""
+    arriving, out, state = (scratch_dir(t.spark, name) for name in ("events", "consents", "consents-state"))
+    events = t.read("events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(arriving)
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    jobs.latest_consent_stream(consents(t, stream), out, state, ["consent_date", "event_id"]).awaitTermination()
+    return jobs.newest_rows(t.spark, out, ["user_id"]).select("user_id", "event_id", "consent_date", "data_processing")
+
+
+@register(
+    "m2_late_requests",
+    f"""WITH {REQUESTS_SQL.replace('FROM events', ', event_id % 5 = 0 AS late FROM events')},
+    seen AS (SELECT max(ts) - INTERVAL 10 DAY AS watermark FROM requests WHERE NOT late)
+    SELECT requester, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS requests, count(*) > 3 AS over_limit
+    FROM requests, seen WHERE NOT late OR time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE > watermark GROUP BY 1, 2""",
+)
+def late_requests(t: Tables):
+    """A fifth of the events arrives after all others; of these, windows that ended ten days before stay as they were."""
+    arriving, out, state = (scratch_dir(t.spark, name) for name in ("events", "windows", "windows-state"))
+    events = t.read("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for late in (False, True):
+        events.where((F.col("event_id") % 5 == 0) == late).write.mode("append").parquet(arriving)
+        stream = t.spark.readStream.schema(events.schema).parquet(arriving)
+        jobs.request_windows_stream(requests(stream), out, state, delay="10 days", limit=3).awaitTermination()
+    newest = jobs.newest_rows(t.spark, out, ["requester", "window_start"])
+    return newest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @register(
     "m4_dedupe_stream",
     "SELECT DISTINCT user_id AS question_id, event_type AS title, 'f' || CAST(floor(value / 20) AS INT) AS filename FROM events",
