@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tarfile
+import uuid
 import zipfile
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunking, embedding
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir
 from ..sources import archives, jsonl, manifest, tables as stored
 from .base import DOCUMENTS_SQL, RAW_DOCUMENTS_SQL, RWS, Tables, register, source_number, sql_decode, sql_group, sql_list, sql_trim
 
@@ -60,6 +62,67 @@ def read_archives(t: Tables):
     return members.select("member", F.length("raw").alias("n_chars"), F.md5(F.col("raw").cast("binary")).alias("raw_md5"))
 
 
+def write_archive_files(documents, folder: str):
+    """Writes ``(id, member, content)`` below ``folder``: every tenth document as a file, the others zipped or as tar.bz2.
+
+    Returns ``(path, members)`` of the files.
+    """
+
+    def write(batches):
+        from pyarrow import fs
+
+        def store(name: str, data: bytes) -> None:
+            system, place = fs.FileSystem.from_uri(f"{folder}/{name}")
+            with system.open_output_stream(place, compression=None) as stream:
+                stream.write(data)
+
+        for batch in batches:
+            packed, tarred, counts = io.BytesIO(), io.BytesIO(), {}
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive, tarfile.open(fileobj=tarred, mode="w:bz2") as tape:
+                for number, name, content in zip(batch["id"], batch["member"], batch["content"]):
+                    data = content.encode()
+                    if number % 10 == 0:
+                        store(name, data)
+                        counts[name] = 1
+                    elif number % 2:
+                        archive.writestr(name, data)
+                        counts["zip"] = counts.get("zip", 0) + 1
+                    else:
+                        entry = tarfile.TarInfo(name)
+                        entry.size = len(data)
+                        tape.addfile(entry, io.BytesIO(data))
+                        counts["tar.bz2"] = counts.get("tar.bz2", 0) + 1
+            for kind, buffer in (("zip", packed), ("tar.bz2", tarred)):
+                if kind in counts:
+                    name = f"part-{uuid.uuid4().hex}.{kind}"
+                    store(name, buffer.getvalue())
+                    counts[name] = counts.pop(kind)
+            yield pd.DataFrame({"path": list(counts), "members": list(counts.values())})
+
+    return documents.select("id", "member", "content").mapInPandas(write, "path string, members long")
+
+
+@register(
+    "a1_read_archive_files",
+    """SELECT CASE WHEN doc_id % 10 = 0 THEN 'file' WHEN doc_id % 2 = 1 THEN 'zip' ELSE 'tar' END AS kind, 'd' || doc_id || '.xml' AS member,
+    length(text) AS n_chars, md5(text) AS raw_md5, CAST(NULL AS VARCHAR) AS error FROM documents""",
+)
+def read_archive_files(t: Tables):
+    """Writes the documents as files, zip files and tar.bz2 files, then reads the folder."""
+    folder = scratch_dir(t.spark, "archive-files")
+    place = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    folder = system.makeQualified(place).toString()
+    materialize(write_archive_files(t.documents(), folder), "archive-list")
+    members = archives.read_archives(t.spark, folder)
+    name = F.col("archive_filename")
+    kind = F.when(name.endswith(".zip"), "zip").when(name.endswith(".tar.bz2"), "tar").otherwise("file")
+    return members.select(
+        kind.alias("kind"), "member", F.length("raw").alias("n_chars"), F.md5(F.col("raw").cast("binary")).alias("raw_md5"), "error"
+    )
+
+
 @register(
     "a2_searchable_members",
     f"""WITH named AS (SELECT 'd' || doc_id || ({sql_list(SUFFIXES)})[CAST(substr(source, 4) AS INT) % {len(SUFFIXES)} + 1] AS member FROM documents)

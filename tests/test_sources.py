@@ -6,7 +6,9 @@ import io
 import tarfile
 import zipfile
 
+import pandas as pd
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from lexweave.operators import embedding, quality, render, usage
@@ -50,6 +52,45 @@ def test_read_archives(spark, tmp_path):
     assert [row["archive_filename"] for row in rows if row["error"]] == ["broken.zip"]
 
 
+def test_zip_members_are_fetched_by_place(spark, tmp_path):
+    folder = tmp_path / "with space æ 100%"
+    folder.mkdir()
+    kinds = [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]
+    texts = {f"m{at}.xml": f"tekst æ {at} " * (at * 50) for at in range(40)}
+    with zipfile.ZipFile(folder / "big one.zip", "w") as packed:
+        for at, (name, body) in enumerate(texts.items()):
+            packed.writestr(name, body, kinds[at % 4])
+    with zipfile.ZipFile(folder / "empty.zip", "w"):
+        pass
+    rows = archives.read_archives(spark, str(folder), part_bytes=500).collect()
+    assert {row["member"]: row["raw"] for row in rows} == texts and not any(row["error"] for row in rows)
+    frame = pd.DataFrame({"filename": ["big one.zip"], "path": [f"file:{folder}/big one.zip"]})
+    places = pd.concat(archives.member_places(iter([frame]), 500))
+    assert places["part"].nunique() > 5  # so several tasks share the file
+
+
+def test_a_damaged_member_does_not_take_the_others_along(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as packed:
+        for name in ("one.xml", "two.xml", "three.xml"):
+            packed.writestr(name, name * 20)
+    data = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "a.zip").write_bytes(data.replace(b"two.xmltwo.xml", b"two.xmlTWO.xml", 1))
+    rows = archives.read_archives(spark, str(tmp_path)).collect()
+    assert {row["member"] for row in rows if not row["error"]} == {"one.xml", "three.xml"}
+    assert [row["error"] for row in rows if row["error"]] == ["BadZipFile: length or checksum differs"]
+
+
+def test_only_pending_files_are_opened(spark, tmp_path):
+    make_archives(tmp_path / "in")
+    only = spark.createDataFrame([("two.zip",), ("three.xml",), ("absent.zip",)], "filename string")
+    found = archives.read_archives(spark, str(tmp_path / "in"), only)
+    assert {row["archive_filename"] for row in found.collect()} == {"two.zip", "three.xml"}
+    scans = [line for line in plan_of(found).splitlines() if "binaryFile" in line]
+    assert scans and all("ReadSchema: struct<path:string,length:bigint>" in line for line in scans)
+    nothing = archives.read_archives(spark, str(tmp_path / "in"), only.where("false"))
+    assert nothing.count() == 0
+
+
 def test_ingest_folder(spark, tmp_path):
     make_archives(tmp_path / "in")
     processed = spark.createDataFrame([("three.xml",)], "filename string")
