@@ -592,6 +592,11 @@ def missing(t: Tables):
     return embedding.missing_embeddings(t.embedded_documents(), archive="src5", resume_from=600).select("id")
 
 
+@register("d7_all_missing_embeddings", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def all_missing(t: Tables):
+    return embedding.missing_embeddings(t.embedded_documents()).select("id")
+
+
 UPDATES_SQL = "updates AS (SELECT vec_id * 3 AS id, CASE WHEN label > 1 THEN embedding END AS embedding FROM embeddings)"
 
 

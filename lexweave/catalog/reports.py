@@ -101,6 +101,18 @@ def reconcile(t: Tables):
     return quality.reconcile_counts(orders, lines, "orderkey")
 
 
+@register(
+    "k5_reconcile_lines",
+    """WITH a AS (SELECT o_orderkey AS orderkey, count(*) AS n FROM orders GROUP BY 1),
+    b AS (SELECT l_orderkey AS orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT orderkey, coalesce(a.n, 0) AS left_rows, coalesce(b.n, 0) AS right_rows, coalesce(a.n, 0) = coalesce(b.n, 0) AS matches FROM a FULL JOIN b USING (orderkey)""",
+)
+def reconcile_lines(t: Tables):
+    """All orders against all lines."""
+    orders = t.read("orders").select(F.col("o_orderkey").alias("orderkey"))
+    return quality.reconcile_counts(orders, t.read("lineitem").select(F.col("l_orderkey").alias("orderkey")), "orderkey")
+
+
 @register(
     "k5_archive_counts",
     """WITH a AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1)
@@ -257,6 +269,12 @@ def scope(t: Tables):
     return usage.consent_scope(current, principals)
 
 
+@register("l3_scope_of_service", f"WITH {LATEST_SQL} SELECT user_id, event_id FROM latest")
+def scope_of_service(t: Tables):
+    current = usage.latest_consent(consents(t), ["consent_date", "event_id"]).select("user_id", "event_id")
+    return usage.scope_of(current, "service")
+
+
 def traces(t: Tables):
     return t.read("events").select(
         F.col("event_type").alias("name"), F.when(F.col("value") > 50, "chain").otherwise("tool").alias("run_type"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import links, text
-from ..session import small_side
+from ..session import materialize, small_side
 
 MAX_EVIDENCE, MAX_QUESTION = 100, 5000
 MAX_CONTENT, MAX_PROMPT, PROMPT_OVERHEAD, MIN_EVIDENCE_SPACE = 3000, 50000, 200, 10000
@@ -109,8 +109,10 @@ def hydrate_evidence(evidence: DataFrame, documents: DataFrame, base_url: str, l
     """Evidence with the (shortened) content of its document, links and members as ``.html``.
 
     An ``.html`` member is looked up as ``.xml`` first and as itself otherwise.
-    Only the wanted documents are read in full: their keys are sent to the scan.
+    Only the wanted documents are read in full: their keys are sent to the scan.  The evidence, which has no texts
+    yet, is written once, as its keys and its rows are needed apart.
     """
+    evidence = materialize(evidence, "evidence")
     wanted = evidence.where("filename is not null and member is not null")
     # both spellings of a member are one key, so a single equi-join finds either
     spelled = links.xml_member("member")
@@ -172,26 +174,29 @@ def evidence_text(item_limit: Column, short: bool) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def pack_context(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+def pack_context(
+    questions: DataFrame, evidence: DataFrame, limit: int = MAX_EVIDENCE, max_prompt: int = MAX_PROMPT,
+    max_content: int = MAX_CONTENT,
+) -> DataFrame:
     """``(question_id, prompt)``: question and sources within the prompt limit.
 
     Each item gets an equal share of the room.  When the whole is still too long
     the share is halved and date and link are left out.  A question has at most
-    ``MAX_EVIDENCE`` items here, each already shortened, so the lists that are
+    ``limit`` items here, each already shortened, so the lists that are
     put together are bounded.
     """
     asked = questions.select("question_id", cap_question("question").alias("question"))
-    capped = cap_evidence(evidence).withColumn(
+    capped = cap_evidence(evidence, limit).withColumn(
         "items", F.count("*").over(Window.partitionBy("question_id"))
     )
     # ``questions`` may hold any number of rows, so the join is left to the optimizer
     items = capped.join(
         asked.select("question_id", F.length("question").alias("question_length")), "question_id"
     )
-    room = F.greatest(F.lit(MAX_PROMPT) - F.col("question_length") - PROMPT_OVERHEAD, F.lit(MIN_EVIDENCE_SPACE))
-    share = F.least(F.lit(MAX_CONTENT), F.floor(room / F.col("items"))).cast("int")
+    room = F.greatest(F.lit(max_prompt) - F.col("question_length") - PROMPT_OVERHEAD, F.lit(MIN_EVIDENCE_SPACE))
+    share = F.least(F.lit(max_content), F.floor(room / F.col("items"))).cast("int")
     frame = len(fixed.PROMPT_QUESTION) + len(fixed.PROMPT_SOURCES) + len(fixed.PROMPT_END)
-    left = F.lit(MAX_PROMPT) - frame - F.col("question_length")
+    left = F.lit(max_prompt) - frame - F.col("question_length")
     half = F.floor(left / F.col("items") / 2).cast("int")
     rendered = items.select(
         "question_id",
@@ -214,7 +219,7 @@ def pack_context(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     return asked.join(packed, "question_id", "left").select(
         "question_id",
         F.when(F.col("items").isNull(), empty)
-        .when(F.length(prompt("full")) > MAX_PROMPT, prompt("short"))
+        .when(F.length(prompt("full")) > max_prompt, prompt("short"))
         .otherwise(prompt("full"))
         .alias("prompt"),
     )

@@ -9,6 +9,7 @@ from ..functions import fixed_values as fixed
 from .evidence import first_per_key
 
 WINDOW, LIMIT = "15 minutes", 100
+SCOPE_PARTS = 64
 
 
 def validate_consents(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,6 +32,16 @@ def latest_consent(consents: DataFrame, order: list[str] | None = None) -> DataF
     return first_per_key(consents, ["user_id"], [F.desc(name) for name in order])
 
 
+def scope_of(consents: DataFrame, role: str, user_id: int | None = None) -> DataFrame:
+    """The consents one principal may see: all for the service role, else those of the user.
+
+    This is what a reader asks for: a filter that reaches the scan.  ``consent_scope`` lists every principal.
+    """
+    if role == "service":
+        return consents
+    return consents.where(F.col("user_id") == F.lit(user_id))
+
+
 def consent_scope(consents: DataFrame, principals: DataFrame) -> DataFrame:
     """``(principal, consent columns)``: own record for users, all records for the service role.
 
@@ -38,11 +49,19 @@ def consent_scope(consents: DataFrame, principals: DataFrame) -> DataFrame:
     """
     users = principals.where(F.col("role") != "service").select("principal", "user_id")
     own = users.join(consents, "user_id").select("principal", *consents.columns)
-    # the service roles are a handful by nature and see every record
-    services = principals.where(F.col("role") == "service").select("principal")
-    names = F.coalesce(services.agg(F.collect_set("principal")).scalar(), F.array().cast("array<string>"))
-    everything = consents.withColumn("principal", F.explode(names)).select("principal", *consents.columns)
-    return own.unionByName(everything)
+    return own.unionByName(service_scope(consents, principals))
+
+
+def service_scope(consents: DataFrame, principals: DataFrame) -> DataFrame:
+    """Every record for each principal of the service role.
+
+    The result has as many rows as it must, principals times records; no task and no array holds the principals.  Both
+    sides meet in ``SCOPE_PARTS`` shares of the users, and every principal goes to each share.
+    """
+    services = principals.where(F.col("role") == "service").select("principal").where("principal is not null").distinct()
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SCOPE_PARTS - 1))).alias("__part")
+    dealt = consents.withColumn("__part", F.pmod(F.xxhash64("user_id"), F.lit(SCOPE_PARTS)).cast("int"))
+    return dealt.join(services.select("principal", parts), "__part").select("principal", *consents.columns)
 
 
 def duration_histogram(

@@ -90,6 +90,8 @@ def test_no_more_than_the_allowed_evidence(spark):
     questions = spark.createDataFrame([(1, "q")], "question_id long, question string")
     found = ev.pack_context(questions, prompt_rows(spark, ["y"] * 130)).first()["prompt"]
     assert found.count("ID: ") == 100
+    fewer = ev.pack_context(questions, prompt_rows(spark, ["y" * 3000] * 130), limit=7, max_content=1000).first()["prompt"]
+    assert fewer.count("ID: ") == 7 and "y" * 501 not in fewer
 
 
 RAW = [

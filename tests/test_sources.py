@@ -217,6 +217,9 @@ def test_latest_consent_and_scope(spark):
     principals = spark.createDataFrame([("u1", "user", 1), ("s", "service", None)], "principal string, role string, user_id long")
     found = sorted((row["principal"], row["n"]) for row in usage.consent_scope(latest, principals).collect())
     assert found == [("s", 2), ("s", 3), ("u1", 2)]
+    assert sorted(row["n"] for row in usage.scope_of(latest, "service").collect()) == [2, 3]
+    assert [row["n"] for row in usage.scope_of(latest, "user", 1).collect()] == [2]
+    assert usage.scope_of(latest, "user").count() == 0
 
 
 def test_request_key(spark, column):
