@@ -21,6 +21,8 @@ from .lexical import FILTERS
 QUERY_BLOCK = 2_000
 # Rows of a group of the block join; keeps a group within a task's memory.
 ROW_BLOCK = 20_000
+# Scores a task holds at once; the rows of a batch or group are compared in slices of so many.
+CELLS = 1 << 21
 DECIMALS = 8
 # Buckets of each table a query is compared in, and the most planes such a bucket may lie across.
 PROBES = 12
@@ -46,28 +48,40 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _best(
-    rows: pd.DataFrame, queries: pd.DataFrame, asked: np.ndarray, k: int, filters: list[str]
+    rows: pd.DataFrame, queries: pd.DataFrame, asked: np.ndarray, k: int, filters: list[str], cells: int = CELLS
 ) -> pd.DataFrame:
     """The best ``k`` of ``rows`` for each of ``queries``; ties go to the smaller id.
 
-    ``asked`` has the unit vectors of the queries.
+    ``asked`` has the unit vectors of the queries.  The rows are compared slice by slice, so that however many rows
+    and queries meet, no more than ``cells`` scores (or those of one row) exist at a time.
     """
-    scores = np.round(asked @ _unit(rows["embedding"]).T, DECIMALS)
+    step = max(1, cells // max(1, len(queries)))
+    best = _best_of_slice(rows.iloc[:step], queries, asked, k, filters)
+    for at in range(step, len(rows), step):
+        best = _merged(best, _best_of_slice(rows.iloc[at : at + step], queries, asked, k, filters), k)
+    return best
+
+
+def _best_of_slice(
+    rows: pd.DataFrame, queries: pd.DataFrame, asked: np.ndarray, k: int, filters: list[str]
+) -> pd.DataFrame:
+    rows = rows.iloc[np.argsort(rows["id"].to_numpy(), kind="stable")]
+    scores = asked @ _unit(rows["embedding"]).T
+    np.round(scores, DECIMALS, out=scores)
     for name in filters:
         wanted = queries[f"filter_{name}"].to_numpy(dtype=object)
         have = rows[name].to_numpy(dtype=object)
         free = pd.isnull(wanted)
         scores[~(free[:, None] | (wanted[:, None] == have[None, :]))] = np.nan
     ids = rows["id"].to_numpy()
-    by_id = np.argsort(ids, kind="stable")
-    scores, ids = scores[:, by_id], ids[by_id]
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    np.negative(scores, out=scores)
+    order = np.argsort(scores, axis=1, kind="stable")[:, :k]
     query_ids = np.repeat(queries["query_id"].to_numpy(), order.shape[1])
     found = pd.DataFrame(
         {
             "query_id": query_ids,
             "id": ids[order].ravel(),
-            "similarity": np.take_along_axis(scores, order, axis=1).ravel(),
+            "similarity": -np.take_along_axis(scores, order, axis=1).ravel(),
         }
     )
     return found[found["similarity"].notna()]

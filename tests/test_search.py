@@ -422,3 +422,24 @@ def test_search_page(spark):
     # A scorer that fails leaves the boosted order.
     failing = pages(scorer=lambda asked, texts: [])[0]
     assert list(map(tier, failing)) == sorted(map(tier, failing))
+
+
+def test_scores_of_a_group_are_bounded():
+    import tracemalloc
+
+    import pandas as pd
+
+    drawn = np.random.default_rng(1)
+    data, asked = drawn.standard_normal((20_000, 8)), drawn.standard_normal((400, 8))
+    rows = pd.DataFrame({"id": drawn.permutation(20_000), "embedding": list(data), "year": np.arange(20_000) % 3})
+    queries = pd.DataFrame({"query_id": np.arange(400), "filter_year": [None if at % 2 else at % 3 for at in range(400)]})
+    asked = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    tracemalloc.start()
+    cut = vector._best(rows, queries, asked, 7, ["year"], cells=400 * 500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # all scores at once have 64 MB, and their order as much again
+    whole = vector._best(rows, queries, asked, 7, ["year"], cells=400 * 20_000)
+    order = ["query_id", "similarity", "id"]
+    listed = lambda best: best.sort_values(order).reset_index(drop=True).to_dict("list")
+    assert listed(cut) == listed(whole) and len(cut) == 400 * 7
