@@ -225,3 +225,15 @@ def test_latest_consent_and_scope(spark):
 def test_request_key(spark, column):
     given = [(7, "x"), (None, "::ffff:1.2.3.4"), (None, "[::1]"), (None, None)]
     assert column(given, "u long, a string", usage.request_key(F.col("u"), F.col("a"))) == ["user:7", "1.2.3.4", "::1", "unknown"]
+
+
+def test_checksums_read_files_as_streams(spark, tmp_path):
+    bodies = {"a b%20.xml": b"x" * 100_000, "sub/b.bin": bytes(range(256)) * 40, "empty.xml": b""}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    listed = manifest.file_manifest(spark, str(tmp_path))
+    assert "content:binary" not in plan_of(listed)
+    assert {row["path"]: row["sha256"] for row in listed.collect()} == {
+        name: hashlib.sha256(body).hexdigest() for name, body in bodies.items() if body
+    }
