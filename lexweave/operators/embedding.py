@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -29,7 +30,8 @@ def embed_table(
     """Add ``embedding`` to a table with a ``text`` column.
 
     ``model`` turns a list of texts into vectors of ``dimension``, in order; it
-    runs inside the tasks on batches of ``batch_size``.  Without a model the
+    runs inside the tasks on batches of ``batch_size``, and no more texts than
+    that are Python strings at a time.  Without a model the
     words are hashed and L2-normalised by the ML library, with no Python.
     """
     if model is None:
@@ -39,20 +41,19 @@ def embed_table(
         embedding = F.when(F.size("__words") > 0, vector_to_array("__unit", "float32"))
         return unit.withColumn("embedding", embedding).drop("__words", "__counts", "__unit")
 
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors: list[list[float]] = []
-            texts = batch["text"].tolist()
-            for start in range(0, len(texts), batch_size):
-                part = texts[start : start + batch_size]
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for start in range(0, batch.num_rows, batch_size):
+                part = texts.slice(start, batch_size).to_pylist()
                 found = model(part)
                 if len(found) != len(part) or any(len(vector) != dimension for vector in found):
                     raise ValueError(f"the model must return {len(part)} vectors of {dimension}")
-                vectors.extend(found)
-            yield batch.assign(embedding=vectors)
+                vectors = pa.array(found, pa.list_(pa.float32()), from_pandas=True)
+                columns = [*batch.slice(start, batch_size).columns, vectors]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "embedding"])
 
-    schema = df.schema.simpleString()[len("struct<") : -1]
-    return df.mapInPandas(embed, f"{schema},embedding:array<float>")
+    return df.mapInArrow(embed, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
 def missing_embeddings(

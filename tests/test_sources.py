@@ -227,6 +227,19 @@ def test_request_key(spark, column):
     assert column(given, "u long, a string", usage.request_key(F.col("u"), F.col("a"))) == ["user:7", "1.2.3.4", "::1", "unknown"]
 
 
+def test_a_model_sees_batches_and_other_columns_stay_as_they_are(spark):
+    rows = [(9007199254740993, "ab"), (None, "c"), (3, None), (4, "")]
+
+    def model(texts):
+        assert len(texts) <= 2
+        return [[float(len(text or "")), 1.0] for text in texts]
+
+    found = embedding.embed_table(spark.createDataFrame(rows, "id long, text string").coalesce(1), model, 2, batch_size=2)
+    assert "MapInArrow" in plan_of(found)
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert got == sorted([(9007199254740993, "ab", [2.0, 1.0]), (None, "c", [1.0, 1.0]), (3, None, [0.0, 1.0]), (4, "", [0.0, 1.0])], key=str)
+
+
 def test_checksums_read_files_as_streams(spark, tmp_path):
     bodies = {"a b%20.xml": b"x" * 100_000, "sub/b.bin": bytes(range(256)) * 40, "empty.xml": b""}
     for name, body in bodies.items():
