@@ -127,3 +127,18 @@ def test_custom_rules_with_capitals_and_overlaps(column):
     for listed in (nested, nested[::-1]):
         found = column(given, "t string", rules.first_rule_of_long_text("t", listed))
         assert found == column(given, "t string", rules.first_rule("t", listed))
+
+
+def test_rules_pass_over_other_letters_and_odd_cases(column):
+    rules_of = [("K", ["kreg", "ski"]), ("A", ["arv"])]
+    given = ["KREG", "x Kreg.", "ſki", "x ARV ikke", "akreg", "", None, "kregs", "ski-kreg"]
+    plain = column(given, "text string", rules.first_rule("text", rules_of))
+    assert column(given, "text string", rules.first_rule_of_long_text("text", rules_of)) == plain
+    assert plain == ["K", "K", "K", "A", None, None, None, None, "K"]
+    texts = ["i Finansdepartementet", "et DEPARTEMENT", "Fjellovene", "Fjelloven", "fjelloven", "Fjellove", "ski", "", None]
+    generic = column(texts, "text string", rules.extract_ministry(F.lit(""), "text", rules_of))
+    assert generic[:2] == ["Finansdepartementet", None] and generic[6] == "K"
+    named = column(texts, "text string", rules.classify_law_type(F.lit(""), "text", rules_of))
+    assert named == [None, None, None, "Lov", None, "Lov", "K", None, None]
+    pattern = rules.sifted(F.col("text"), rules_of)._jc.toString()
+    assert "(?=[aks])" in pattern
