@@ -443,3 +443,11 @@ def test_scores_of_a_group_are_bounded():
     order = ["query_id", "similarity", "id"]
     listed = lambda best: best.sort_values(order).reset_index(drop=True).to_dict("list")
     assert listed(cut) == listed(whole) and len(cut) == 400 * 7
+
+
+def test_words_alone_are_sorted_without_positions(spark, chunks):
+    built = lexical.build_postings(chunks, positions=False)
+    assert "sort_array(words" in plan_of(built)
+    expected = {(at, word, body.split().count(word), len(body.split())) for at, body in enumerate(TEXTS) for word in body.split()}
+    found = built.select("id", "token", "tf", "n_tokens").collect()
+    assert len(found) == len(expected) and set(map(tuple, found)) == expected
