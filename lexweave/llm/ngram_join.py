@@ -9,7 +9,11 @@ range and its number of blocks.
 
 Sets that share fewer blocks with all others together than the bound of their size asks for
 are left out, and of the blocks of a set as many of the most frequent as it could do without.
-What still shares a block forms clusters.  The rows of a cluster are multiplied in
+What still shares a block forms clusters, which chains of texts with little in common make very large.  They are
+parted by sketches first: a set's parities of how many of its shingles fall on each of about as many bits as it has shingles.  Two sets
+differ in at least as many shingles as their sketches in bits, so pairs whose sketches differ in more than ``d`` bits
+cannot link; only sets joined by the others stay together.  A sketch has a fiftieth of the bytes of its set,
+and only those travel to many blocks.  The rows of what remains are multiplied in
 the tasks, a bounded block of rows with another, over the columns both have: overlaps are
 accumulated, pairs below the bound of their sizes are discarded, and a task hands over only as many links
 as join what it found linked.  Pairs are never rows of a table.
@@ -41,6 +45,10 @@ from .components import components
 # Sets of one block of rows, and columns multiplied at once.
 BLOCK = 256
 COLUMNS = 4096
+# Sketches of one block, bits of the largest sketch, and words of sketches compared at once.
+SKETCH_BLOCK = 2048
+SKETCH_BITS = 1 << 16
+SLICE_WORDS = 1 << 21
 # Words whose hashes a task remembers, and hashes it hands over at once.
 CACHED_WORDS = 1 << 16
 SLICE_HASHES = 1 << 19
@@ -147,6 +155,24 @@ def block_keys(grams: np.ndarray, settings: Settings) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """The parities of how many shingles fall on each bit, by the low bits of their hashes, as 64-bit words.
+
+    There are as many bits as shingles, up to the next power of two, at least 64 and at most ``SKETCH_BITS``.
+    """
+    bits = min(max(64, 1 << (len(grams) - 1).bit_length()), SKETCH_BITS)
+    odd = (np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """The same sketches (a row each) with fewer words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def _lists(values: list[np.ndarray | None]) -> pa.Array:
     """Arrays of numbers, or nulls, as a column of lists."""
     sizes = np.array([0 if value is None else len(value) for value in values], np.int32)
@@ -157,17 +183,18 @@ def _lists(values: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()), mask=missing)
 
 
-def _flushed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of bounded size; the last of ``columns`` holds arrays of numbers or None, the others numbers or None."""
+def _flushed(rows: Iterator[tuple], columns: list[str], lists: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size; the last ``lists`` of ``columns`` hold arrays of numbers or None, the others numbers or None."""
 
     def given(held: list[tuple]) -> pa.RecordBatch:
-        *numbers, lists = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(column, pa.int64()) for column in numbers), _lists(list(lists))], columns)
+        found = list(zip(*held, strict=True))
+        numbers = [pa.array(column, pa.int64()) for column in found[:-lists]]
+        return pa.RecordBatch.from_arrays([*numbers, *(_lists(list(column)) for column in found[-lists:])], columns)
 
     held, weight = [], 0
     for row in rows:
         held.append(row)
-        weight += 64 if row[-1] is None else 64 + len(row[-1])
+        weight += 64 + sum(len(item) for item in row[-lists:] if item is not None)
         if weight >= SLICE_HASHES:
             yield given(held)
             held, weight = [], 0
@@ -176,11 +203,11 @@ def _flushed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pa.RecordBat
 
 
 def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, node, least, keys)``: ``node`` is the hash of the set, null if it is empty.
+    """``(doc_id, n_shingles, node, least, sketch, keys)``: ``node`` is the hash of the set, null if it is empty.
 
     ``least`` is the number of keys it shares with any set it links with.
 
-    A task gives the keys of equal sets once, for a row with an id.
+    A task gives the sketch and the keys of equal sets once, for a row with an id.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,19 +218,21 @@ def signed(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
                 for doc_id, text in zip(*(part.column(name).to_pylist() for name in ("doc_id", "text")), strict=True):
                     grams = shingles(text, settings.words, cache)
                     if not len(grams):
-                        yield doc_id, 0, None, 0, None
+                        yield doc_id, 0, None, 0, None, None
                         continue
                     node = _node(grams)
                     known = doc_id is not None  # rows without an id link with nothing and stand for no other
                     fresh = known and node not in seen
                     if known:
                         seen.add(node)
-                    yield doc_id, len(grams), node, least_equal(len(grams), settings), block_keys(grams, settings).view(np.int64) if fresh else None
+                    lists = [item.view(np.int64) for item in (sketch(grams), block_keys(grams, settings))] if fresh else [None, None]
+                    yield doc_id, len(grams), node, least_equal(len(grams), settings), *lists
 
-        yield from _flushed(rows(), ["doc_id", "n_shingles", "node", "least", "keys"])
+        yield from _flushed(rows(), ["doc_id", "n_shingles", "node", "least", "sketch", "keys"], lists=2)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return source.mapInArrow(sign, "doc_id bigint, n_shingles bigint, node bigint, least bigint, keys array<bigint>")
+    schema = "doc_id bigint, n_shingles bigint, node bigint, least bigint, sketch array<bigint>, keys array<bigint>"
+    return source.mapInArrow(sign, schema)
 
 
 def _node(grams: np.ndarray) -> int:
@@ -272,6 +301,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     """As many of ``pairs`` as join what they all join."""
+    return _joined(pairs)[0]
+
+
+def _joined(pairs: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """As many of ``pairs`` as join what they all join, and one name for all that is joined, by its members."""
     parent: dict[int, int] = {}
 
     def root(at: int) -> int:
@@ -285,7 +319,7 @@ def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
         if low != high:
             parent[high] = low
             kept.append((a, b))
-    return kept
+    return kept, {at: root(at) for at in list(parent)}
 
 
 def block_pairs(placed: DataFrame, settings: Settings, block: int) -> DataFrame:
@@ -318,7 +352,75 @@ def block_pairs(placed: DataFrame, settings: Settings, block: int) -> DataFrame:
     own = places(F.col("blocks"), lambda j: place(c, F.least(sub, j), 0, F.greatest(sub, j), sub > j))
     up = F.when(F.col("above").isNull(), none).otherwise(places(F.col("above"), lambda j: place(c, sub, 1, j, F.lit(0))))
     down = F.when(F.col("below").isNull(), none).otherwise(places(F.col("below"), lambda i: place(c - 1, i, 1, sub, F.lit(1))))
-    return cut.select("doc_id", "node", "label", F.inline(F.concat(own, up, down)))
+    return cut.select("doc_id", "node", "size", "label", F.inline(F.concat(own, up, down)))
+
+
+def sketched_pairs(left: tuple, right: tuple, settings: Settings) -> np.ndarray:
+    """As many pairs of places in ``left`` and ``right`` as join what all pairs join that their sketches leave possible.
+
+    A side is its names, sizes and sketches.  Pairs are compared a slice of rows at a time; those that
+    join nothing new are dropped with each slice.
+    """
+    percent, kept = settings.percent, []
+    _, names = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
+    label = np.arange(names.max() + 1)
+
+    def by_width(side: tuple, own: np.ndarray) -> dict[int, tuple]:
+        widths = np.array([len(item) for item in side[2]])
+        return {
+            width: (at := np.flatnonzero(widths == width), own[at], side[1][at], np.stack([side[2][i] for i in at]))
+            for width in np.unique(widths).tolist()
+        }
+
+    sides = by_width(left, names[: len(left[0])]), by_width(right, names[len(left[0]) :])
+    for a, (places, a_names, a_sizes, a_sketches) in sides[0].items():
+        for b, (others, b_names, b_sizes, b_sketches) in sides[1].items():
+            if percent * max(a, b) >= 200 * min(a, b):
+                continue  # their sizes are too far apart
+            words = min(a, b)
+            a_words, b_words = folded(a_sketches, words), folded(b_sketches, words)
+            step = max(1, SLICE_WORDS // (len(others) * words))
+            for first in range(0, len(places), step):
+                rows = slice(first, first + step)
+                differ = np.bitwise_count(a_words[rows, None, :] ^ b_words[None, :, :]).sum(axis=2, dtype=np.int32)
+                one, other = a_sizes[rows, None], b_sizes[None, :]
+                near = (100 + percent) * differ <= (100 - percent) * (one + other)
+                near &= 100 * np.minimum(one, other) >= percent * np.maximum(one, other)
+                near &= label[a_names[rows]][:, None] != label[b_names][None, :]
+                at, to = np.nonzero(near)
+                if not len(at):
+                    continue
+                pairs = np.stack([label[a_names[rows][at]], label[b_names[to]], places[rows][at], others[to]], axis=1)
+                _, once = np.unique(np.sort(pairs[:, :2], axis=1), axis=0, return_index=True)
+                pairs = pairs[once]
+                known = {(x, y): place for x, y, *place in pairs.tolist()}
+                forest, roots = _joined(pairs[:, :2])
+                kept += [known[pair] for pair in forest]
+                moved = np.arange(len(label))
+                moved[list(roots)] = list(roots.values())
+                label = moved[label]
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+def parted(placed: DataFrame, sketches: DataFrame, settings: Settings, block: int = SKETCH_BLOCK) -> DataFrame:
+    """Pairs (``a``, ``b``) that join all sets of ``placed`` whose sketches do not rule out that they link.
+
+    ``sketches`` has one of each ``node``.
+    """
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        def side(rows: pd.DataFrame) -> tuple:
+            return rows["node"].to_numpy(), rows["size"].to_numpy(), [np.asarray(item).view(np.uint64) for item in rows["sketch"]]
+
+        left, right = (side(frame[frame["right"] == which]) for which in (0, 1))
+        right = right if len(right[0]) else left
+        if not len(left[0]):
+            return pd.DataFrame({"a": [], "b": []})
+        found = sketched_pairs(left, right, settings)
+        return pd.DataFrame({"a": left[0][found[:, 0]], "b": right[0][found[:, 1]]})
+
+    dealt = block_pairs(placed, settings, block).drop("doc_id").join(sketches, "node")
+    return dealt.groupBy("label", "c", "i", "step", "j").applyInPandas(compared, "a bigint, b bigint")
 
 
 def multiply(docs: DataFrame, placed: DataFrame, settings: Settings, block: int) -> DataFrame:
@@ -339,7 +441,7 @@ def multiply(docs: DataFrame, placed: DataFrame, settings: Settings, block: int)
         pairs = np.stack([names[0][found[:, 0]], names[1][found[:, 1]]], axis=1)
         return pd.DataFrame(_forest(pairs[pairs[:, 0] != pairs[:, 1]]), columns=["a", "b"])
 
-    chosen = materialize(block_pairs(placed, settings, block), "blocks")
+    chosen = materialize(block_pairs(placed, settings, block).drop("size"), "blocks")
     sets = _sets(docs, chosen, settings, "node")
     return sets.groupBy("label", "c", "i", "step", "j").applyInPandas(product, "a bigint, b bigint")
 
@@ -355,10 +457,11 @@ def near_duplicates(
     owners = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("least").alias("least")
     )
-    # Row numbers stand for nodes here, since they shrink better; a key that occurs once is no candidate.
+    # Row numbers stand for nodes here, since they shrink better; a key that occurs once is no candidate.  Every key goes through
+    # one exchange only, and is counted where it arrives.
     entries = table.where("doc_id is not null").select("row", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = entries.join(shared, "key").join(rows.select("row", "node"), "row")
+    shared = entries.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("row", "key")
+    found = shared.join(rows.select("row", "node"), "row")
     found = materialize(found.select("key", "node").distinct(), "found")
     discard(table)
     members = _rarest(_pruned(_pruned(found, owners), owners), owners)
@@ -367,6 +470,9 @@ def near_duplicates(
     clusters = components(near)
     discard(found)
     placed = clusters.join(owners, "node").select("doc_id", "node", "size", "label")
+    sketches = rows.where("sketch is not null").dropDuplicates(["node"]).select("node", "sketch")
+    parts = components(parted(placed, sketches, settings))
+    placed = parts.join(owners, "node").select("doc_id", "node", "size", "label")
     labels = components(multiply(docs, placed, settings, block))
 
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -114,3 +114,42 @@ def test_components_of_paths_and_stars(spark):
     assert len(found) == len(labels)
     assert labels == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_chains_of_unlike_texts_are_parted_before_their_sets_travel(spark, monkeypatch):
+    words = [f"w{i}" for i in range(4000)]
+    # Each text shares seven tenths with the next; two of them have a near copy.
+    texts = [" ".join(words[at : at + 400]) for at in range(0, 3500, 70)]
+    texts += [texts[7] + " end", texts[30] + " last words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, multiply = [], ngram_join.multiply
+
+    def seen(docs, placed, *others):
+        sizes.extend(row["count"] for row in placed.groupBy("label").count().collect())
+        return multiply(docs, placed, *others)
+
+    monkeypatch.setattr(ngram_join, "multiply", seen)
+    found = {row["doc_id"]: row["component_id"] for row in ngram_join.near_duplicates(docs).collect()}
+    assert sorted(sizes) == [2, 2]
+    assert found == {at: at for at in range(50)} | {50: 7, 51: 30}
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(9)
+    for settings in (ngram_join.Settings(), ngram_join.Settings(words=5, percent=80)):
+        sets = []
+        for size in [1, 2, 3, 9, 40, 63, 64, 65, 127, 128, 130, 500, 520, 1024, 1030, 90_000]:
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            for share in (0, 2, 5, 8, 10, 15, 40):
+                cut = base[: size - size * share // 100]
+                sets.append(np.unique(np.append(cut, rng.integers(0, 1 << 63, size * share // 200, dtype=np.uint64))))
+        inside = lambda a, b: len(np.intersect1d(a, b))
+        side = np.arange(len(sets)), np.array([len(item) for item in sets]), [ngram_join.sketch(item) for item in sets]
+        joined = ngram_join._joined(ngram_join.sketched_pairs(side, side, settings))[1]
+        for a, b in combinations(range(len(sets)), 2):
+            common = inside(sets[a], sets[b]) if abs(a - b) < 7 else 0
+            if 100 * common >= settings.percent * (len(sets[a]) + len(sets[b]) - common):
+                assert joined[a] == joined[b]
+        # Sets without common shingles stay apart.
+        large = [at for at in range(len(sets)) if len(sets[at]) > 30]
+        assert all(joined.get(a, a) != joined.get(b, b) for a in large for b in large if a // 7 != b // 7)
