@@ -1,14 +1,15 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
 A text becomes units that no piece crosses: a run of word starts (spaces) with the
-word behind it, or a line feed.  Each distinct unit of the corpus is segmented once: its
+word behind it, or a line feed; a mark or digit that follows a letter in no piece begins another unit
+(``unit_pattern``).  Each distinct unit of the corpus is segmented once: its
 substrings of bounded length are exploded and joined to the table of pieces by
 equality; the pieces found are the edges of a lattice, which are grouped by unit and
 place and folded by the higher-order ``aggregate``: the best sum of scores up to each place
 (Viterbi).  Characters without a piece become their bytes.
 
 The segmented units reach the texts without moving them while their table is measured
-to be small (``MAX_DICTIONARY_BYTES``): the tasks read it from the shared folder.  A larger
+to be small (``MAX_DICTIONARY_BYTES``): the tasks read it from the shared folder into a few arrays.  A larger
 table meets the distinct units of each document in a shuffle join.
 
 The scores are those of the model file, taken as a unigram model takes them.  A file whose
@@ -24,25 +25,29 @@ empty table gives an empty result.  Columns beside the two named ones stay, unle
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, with_text_results
 
 SPACE = "▁"
-_UNIT = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
 UNKNOWN_PENALTY = 10.0
 # How an edge is packed into a long: its length and its id take so many bits, the place the rest.
 LENGTH_BITS, ID_BITS = 8, 22
-# A table of segmented units up to this size is read whole by every Python worker.
+# A table of segmented units up to this size is read whole by every Python worker; bytes of a unit beside its ids, while it is read.
 MAX_DICTIONARY_BYTES = 256 << 20
+UNIT_BYTES = 48
 # Units whose place a task remembers, and ids it hands over at once.
-CACHED_UNITS = 1 << 19
+CACHED_UNITS = 1 << 16
 SLICE_IDS = 2 << 20
 
 
@@ -64,13 +69,31 @@ def pieces(spark: SparkSession, model: str | None = None) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
 
 
-def units(text: Column) -> Column:
+def unit_pattern(model: str | None = None) -> str:
+    """What a unit is, for Java and for Python: no piece crosses its ends.
+
+    The marks and digits that stand behind a letter in no piece begin a unit there, so that a word is one
+    unit whatever follows it.  Letters are those of the pieces.
+    """
+    found = _processor(model)
+    spelled = [found.id_to_piece(at) for at in range(found.get_piece_size()) if not found.is_byte(at)]
+    letters = {char for piece in spelled for char in piece if char.isalpha()}
+    marks = set(string.punctuation + string.digits)
+    marks -= {after for piece in spelled for before, after in pairwise(piece) if before in letters}
+    word = f"{SPACE}*[^{SPACE}\n]"
+    if not letters or not marks:
+        return f"{word}+|{SPACE}+|\n"
+    cut = "".join(f"\\{mark}" if mark in string.punctuation else mark for mark in sorted(marks))
+    return f"{word}(?:[^{SPACE}\n{cut}]|(?<![{''.join(sorted(letters))}])[{cut}])*|{SPACE}+|\n"
+
+
+def units(text: Column, pattern: str) -> Column:
     marked = F.concat(F.lit(SPACE), F.regexp_replace(text, " ", SPACE))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(_UNIT), F.lit(0)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)))
 
 
-def units_of(text: str) -> list[str]:
-    return re.findall(_UNIT, SPACE + text.replace(" ", SPACE)) if text else []
+def units_of(text: str, pattern: str) -> list[str]:
+    return re.findall(pattern, SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def _bytes_ids(char: Column, first_byte: int) -> Column:
@@ -195,28 +218,39 @@ class _Dictionary:
 
     held: dict[str, _Dictionary] = {}
 
-    def __init__(self, files: list[str]):
-        from pyarrow import concat_tables, fs
-        from pyarrow import parquet
+    def __init__(self, files: list[str], n_units: int, n_ids: int, pattern: str):
+        from pyarrow import fs, parquet
 
-        parts = []
+        # Filled a part at a time: the table never stands beside its arrays.  A file of up to 65,536 pieces has ids of two bytes.
+        hashes, sizes = np.empty(n_units, np.int64), np.empty(n_units, np.int32)
+        self.values = np.empty(n_ids, np.uint16)
+        unit, at = 0, 0
         for uri in files:
             store, place = fs.FileSystem.from_uri(uri)
-            parts.append(parquet.read_table(place, filesystem=store, columns=["hash", "ids"]))
-        table = concat_tables(parts).combine_chunks()
-        hashes = table["hash"].to_numpy().astype(np.int64)
+            with store.open_input_file(place) as file:
+                for part in parquet.ParquetFile(file).iter_batches(1 << 16, columns=["hash", "ids"]):
+                    ids, upto = part.column("ids").flatten().to_numpy(zero_copy_only=False), unit + part.num_rows
+                    if len(ids) and ids.max() > np.iinfo(self.values.dtype).max:
+                        self.values = self.values.astype(np.int32)
+                    hashes[unit:upto] = part.column("hash").to_numpy(zero_copy_only=False)
+                    sizes[unit:upto] = part.column("ids").value_lengths().to_numpy(zero_copy_only=False)
+                    self.values[at : at + len(ids)] = ids
+                    unit, at = upto, at + len(ids)
         order = np.argsort(hashes)
-        lists = table["ids"].combine_chunks()
-        bounds = lists.offsets.to_numpy()
-        self.hashes, self.values = hashes[order], lists.values.to_numpy().astype(np.int32)
-        self.starts, self.sizes = bounds[:-1][order], np.diff(bounds)[order]
+        self.hashes, self.sizes = hashes[order], sizes[order]
+        del hashes
+        starts = np.cumsum(sizes, dtype=np.int64)
+        starts -= sizes
+        self.starts = starts.astype(np.uint32 if n_ids < 1 << 32 else np.int64)[order]
+        self.pattern = pattern
         self.cache: dict[str, int] = {}
+        pa.default_memory_pool().release_unused()
 
     @classmethod
-    def of(cls, files: list[str]) -> _Dictionary:
+    def of(cls, files: list[str], *others) -> _Dictionary:
         if files[0] not in cls.held:
             cls.held.clear()
-            cls.held[files[0]] = cls(files)
+            cls.held[files[0]] = cls(files, *others)
         return cls.held[files[0]]
 
     def places(self, found: list[str]) -> np.ndarray:
@@ -231,13 +265,18 @@ class _Dictionary:
         return np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
 
     def encode(self, text: str) -> np.ndarray:
-        found = units_of(text)
+        found = units_of(text, self.pattern)
         if not found:
             return np.empty(0, np.int32)
         at = self.places(found)
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        return self.values[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + sizes, sizes)]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.values[np.arange(ends[-1]) + np.repeat(self.starts[at].astype(np.int64) - ends + sizes, sizes)].astype(np.int32)
+
+    def column(self, texts: list[str]) -> pa.Array:
+        found = [self.encode(text) for text in texts]
+        offsets = np.append(0, np.cumsum([len(ids) for ids in found])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
 
 
 def _sliced(batch: pd.DataFrame, name: str, values: Iterator, weigh=len) -> Iterator[pd.DataFrame]:
@@ -264,28 +303,24 @@ def encode(
     source = docs.drop("ids")
     first_byte = _processor(model).piece_to_id("<0x00>")
     table = pieces(docs.sparkSession, model)
-    words = source.select(F.explode(units(F.coalesce(F.col(text_col), F.lit("")))).alias("unit")).distinct()
+    pattern = unit_pattern(model)
+    words = source.select(F.explode(units(F.coalesce(F.col(text_col), F.lit("")), pattern)).alias("unit")).distinct()
     known = materialize(segment(words, table, first_byte).select(F.xxhash64("unit").alias("hash"), "unit", "ids"), "units")
-    size = known.agg(F.sum(F.size("ids") * 4 + 20)).first()[0] or 0
-    if size == 0:
+    n_units, n_ids = known.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    if n_units == 0:
         return source.withColumn("ids", F.array().cast("array<int>"))
-    if size > max_dictionary_bytes:
-        return _encode_by_join(source, known, text_col, id_col)
+    if n_units * UNIT_BYTES + n_ids * 2 > max_dictionary_bytes:
+        return _encode_by_join(source, known, text_col, pattern)
     files = known.inputFiles()
-
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dictionary = _Dictionary.of(files)
-        for batch in batches:
-            yield from _sliced(batch, "ids", map(dictionary.encode, batch[text_col].fillna("")))
-
-    return source.mapInPandas(encoded, f"{_schema(source)}, ids array<int>")
+    added = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return with_text_results(source, text_col, added, lambda texts: [_Dictionary.of(files, n_units, n_ids, pattern).column(texts)])
 
 
-def _encode_by_join(source: DataFrame, known: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def _encode_by_join(source: DataFrame, known: DataFrame, text_col: str, pattern: str) -> DataFrame:
     """Each document meets the ids of its own distinct units, by a shuffle on the unit and one on a number of the row."""
     numbered = materialize(source.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = numbered.select("__row", F.explode(F.array_distinct(units(text))).alias("unit")).join(known, "unit")
+    own = numbered.select("__row", F.explode(F.array_distinct(units(text, pattern))).alias("unit")).join(known, "unit")
     lists = own.groupBy("__row").agg(F.collect_list("unit").alias("__units"), F.collect_list("ids").alias("__ids"))
     joined = numbered.join(lists, "__row", "left").drop("__row")
 
@@ -294,7 +329,7 @@ def _encode_by_join(source: DataFrame, known: DataFrame, text_col: str, id_col:
             if not text:
                 return []
             place = dict(zip(names, ids, strict=True))
-            return np.concatenate([place[unit] for unit in units_of(text)])
+            return np.concatenate([place[unit] for unit in units_of(text, pattern)])
 
         for batch in batches:
             values = map(one, batch[text_col], batch["__units"], batch["__ids"])

@@ -1,5 +1,8 @@
+import re
+
 import public_tokenizers
 import sentencepiece as library
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_file
 
 from lexweave.llm import sentencepiece
@@ -70,3 +73,29 @@ def test_lattice_against_all_segmentations(spark):
         want = best(row["unit"])[0]
         total = sum(next((s for s, i in scores.values() if i == at), -13.1) for at in row["ids"])
         assert abs(total - want) < 1e-9
+
+
+def test_a_word_is_one_unit_whatever_mark_follows(spark):
+    pattern = sentencepiece.unit_pattern()
+    texts = ["word, word. word", "it's (word)! x1 42, \n a&&&b --- é,É\x0b", "', ,'", "日本, ①"]
+    rows = spark.createDataFrame([(text,) for text in texts], "text string").select("text", sentencepiece.units(F.col("text"), pattern))
+    for text, found in rows.collect():
+        assert found == sentencepiece.units_of(text, pattern)
+        assert "".join(found) == sentencepiece.SPACE + text.replace(" ", sentencepiece.SPACE)
+    assert sentencepiece.units_of(texts[0], pattern) == ["▁word", ",", "▁word", ".", "▁word"]
+    processor = sentencepiece._processor(None)
+    for at in range(3, processor.get_piece_size()):
+        piece = processor.id_to_piece(at)
+        if not processor.is_byte(at) and piece.strip(sentencepiece.SPACE):
+            assert re.findall(pattern, piece) == [piece]
+
+
+def test_the_dictionary_is_held_in_few_bytes(spark, tmp_path):
+    units = spark.range(200_000).selectExpr("xxhash64(cast(id as string)) hash", "array(cast(id % 30000 as int), 7) ids")
+    units.write.parquet(f"file://{tmp_path}/units")
+    files = spark.read.parquet(f"file://{tmp_path}/units").inputFiles()
+    held = sentencepiece._Dictionary(files, 200_000, 400_000, sentencepiece.unit_pattern())
+    arrays = [value for value in vars(held).values() if hasattr(value, "nbytes")]
+    assert sum(array.nbytes for array in arrays) <= 200_000 * 20
+    at = held.places(["5", "199999"])
+    assert [held.values[held.starts[i] : held.starts[i] + held.sizes[i]].tolist() for i in at] == [[5, 7], [19_999, 7]]
