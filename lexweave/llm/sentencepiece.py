@@ -73,11 +73,12 @@ def unit_pattern(model: str | None = None) -> str:
     """What a unit is, for Java and for Python: no piece crosses its ends.
 
     The marks and digits that stand behind a letter in no piece begin a unit there, so that a word is one
-    unit whatever follows it.  Letters are those of the pieces.
+    unit whatever follows it.  Letters are those of the pieces below U+0100, which Java tests by one look at a table of bits;
+    a class of thousands it tests one after the other.
     """
     found = _processor(model)
     spelled = [found.id_to_piece(at) for at in range(found.get_piece_size()) if not found.is_byte(at)]
-    letters = {char for piece in spelled for char in piece if char.isalpha()}
+    letters = {char for piece in spelled for char in piece if char.isalpha() and ord(char) < 256}
     marks = set(string.punctuation + string.digits)
     marks -= {after for piece in spelled for before, after in pairwise(piece) if before in letters}
     word = f"{SPACE}*[^{SPACE}\n]"
