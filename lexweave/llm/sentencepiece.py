@@ -49,6 +49,8 @@ UNIT_BYTES = 48
 # Units whose place a task remembers, and ids it hands over at once.
 CACHED_UNITS = 1 << 16
 SLICE_IDS = 2 << 20
+# Bytes of text whose units a task looks up at once.
+SLICE_BYTES = 1 << 20
 
 
 def _processor(path: str | None):
@@ -74,22 +76,24 @@ def unit_pattern(model: str | None = None) -> str:
 
     The marks and digits that stand behind a letter in no piece begin a unit there, so that a word is one
     unit whatever follows it.  Letters are those of the pieces below U+0100, which Java tests by one look at a table of bits;
-    a class of thousands it tests one after the other.
+    a class of thousands it tests one after the other.  All repeats are possessive: Java takes those in a loop, others by
+    a call within a call for each character, which a long word would have too many of.
     """
     found = _processor(model)
     spelled = [found.id_to_piece(at) for at in range(found.get_piece_size()) if not found.is_byte(at)]
     letters = {char for piece in spelled for char in piece if char.isalpha() and ord(char) < 256}
     marks = set(string.punctuation + string.digits)
     marks -= {after for piece in spelled for before, after in pairwise(piece) if before in letters}
-    word = f"{SPACE}*[^{SPACE}\n]"
+    word = f"{SPACE}*+[^{SPACE}\n]"
     if not letters or not marks:
-        return f"{word}+|{SPACE}+|\n"
+        return f"{word}++|{SPACE}++|\n"
     cut = "".join(f"\\{mark}" if mark in string.punctuation else mark for mark in sorted(marks))
-    return f"{word}(?:[^{SPACE}\n{cut}]|(?<![{''.join(sorted(letters))}])[{cut}])*|{SPACE}+|\n"
+    rest = f"[^{SPACE}\n{cut}]*+"
+    return f"{word}{rest}(?:(?<![{''.join(sorted(letters))}])[{cut}]++{rest})*+|{SPACE}++|\n"
 
 
 def units(text: Column, pattern: str) -> Column:
-    marked = F.concat(F.lit(SPACE), F.regexp_replace(text, " ", SPACE))
+    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)))
 
 
@@ -141,54 +145,36 @@ def _id(edge: Column) -> Column:
 def best_path(edges: Column, scores: Column) -> Column:
     """The edges of the path with the best sum of ``scores`` (by id), in order; ``edges`` are sorted.
 
-    A step of the fold takes one edge; where the place changes, the best that stopped at the last one is
-    kept.  The second fold walks back.
+    A step of the first fold takes one edge.  The edges of a place come by length, and each has one of a single character:
+    that one adds the cell of the place before, which it starts from, and the longer ones start from cells.  The second
+    fold walks back.
     """
 
     def step(state: Column, edge: Column) -> Column:
-        moved = _stop(edge) != state["stop"]
-
-        def taken(before: Column) -> Column:
-            total = F.get(before["best"], _stop(edge) - _length(edge)) + F.get(scores, _id(edge))
-            # Edges of one place come by length, so of equal sums the longer piece stays.
-            better = moved | (total >= state["total"])
-            return F.struct(
-                before["best"].alias("best"), before["back"].alias("back"), _stop(edge).alias("stop"),
-                F.when(better, total).otherwise(state["total"]).alias("total"),
-                F.when(better, edge).otherwise(state["edge"]).alias("edge"),
-            )
-
-        before = F.when(
-            moved,
-            F.struct(
-                F.concat(state["best"], F.array(state["total"])).alias("best"),
-                F.concat(state["back"], F.array(state["edge"])).alias("back"),
-            ),
-        ).otherwise(F.struct(state["best"].alias("best"), state["back"].alias("back")))
-        return F.get(F.transform(F.array(before), taken), F.lit(0))
+        score = F.get(scores, _id(edge))
+        ended = F.array(F.struct(state["total"].alias("total"), state["edge"].alias("edge")))
+        moved = F.struct(
+            F.concat(state["cells"], ended).alias("cells"), (state["total"] + score).alias("total"), edge.alias("edge")
+        )
+        total = F.get(state["cells"], _stop(edge) - _length(edge))["total"] + score
+        # Of equal sums the longer piece stays.
+        better = F.struct(state["cells"].alias("cells"), total.alias("total"), edge.alias("edge"))
+        return F.when(_length(edge) == 1, moved).when(total >= state["total"], better).otherwise(state)
+
+    def back(state: Column, cell: Column) -> Column:
+        edge = cell["edge"]
+        moved = F.struct((state["at"] - _length(edge)).alias("at"), F.concat(F.array(edge), state["path"]).alias("path"))
+        return F.when(_stop(edge) == state["at"], moved).otherwise(state)
 
     def walk(state: Column) -> Column:
-        def along(back: Column) -> Column:
-            begin = F.struct(state["stop"].alias("at"), F.array().cast("array<bigint>").alias("path"))
+        last = state["edge"]
+        begin = F.struct((_stop(last) - _length(last)).alias("at"), F.array(last).alias("path"))
+        # The first cell is the place before all edges.
+        return F.aggregate(F.slice(F.reverse(state["cells"]), 1, _stop(last) - 1), begin, back, lambda found: found["path"])
 
-            def move(found: Column, _: Column) -> Column:
-                def taken(edge: Column) -> Column:
-                    return F.struct(
-                        (found["at"] - _length(edge)).alias("at"), F.concat(F.array(edge), found["path"]).alias("path")
-                    )
-
-                edge = F.array(F.get(back, found["at"]))
-                return F.when(found["at"] > 0, F.get(F.transform(edge, taken), F.lit(0))).otherwise(found)
-
-            return F.aggregate(state["back"], begin, move, lambda found: found["path"])
-
-        whole = F.array(F.concat(state["back"], F.array(state["edge"])))
-        return F.get(F.transform(whole, along), F.lit(0))
-
-    none = F.array().cast("array<double>")
     begin = F.struct(
-        none.alias("best"), F.array().cast("array<bigint>").alias("back"), F.lit(0).alias("stop"),
-        F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("edge"),
+        F.array().cast("array<struct<total:double,edge:bigint>>").alias("cells"), F.lit(0.0).alias("total"),
+        F.lit(0).cast("long").alias("edge"),
     )
     return F.aggregate(edges, begin, step, walk)
 
@@ -256,28 +242,29 @@ class _Dictionary:
 
     def places(self, found: list[str]) -> np.ndarray:
         cache = self.cache
-        missing = [unit for unit in dict.fromkeys(found) if unit not in cache]
+        if len(cache) > CACHED_UNITS:
+            cache.clear()
+        missing = list(set(found).difference(cache))
         if missing:
-            if len(cache) > CACHED_UNITS:
-                cache.clear()
-                missing = list(dict.fromkeys(found))
             hashes = np.array([xxhash.xxh64_intdigest(unit.encode(), 42) for unit in missing], np.uint64).view(np.int64)
-            cache.update(zip(missing, np.searchsorted(self.hashes, hashes).tolist(), strict=True))
+            order = np.argsort(hashes)  # neighbours are looked up after each other
+            at = np.empty(len(order), np.int64)
+            at[order] = np.searchsorted(self.hashes, hashes[order])
+            cache.update(zip(missing, at.tolist(), strict=True))
         return np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
 
-    def encode(self, text: str) -> np.ndarray:
-        found = units_of(text, self.pattern)
-        if not found:
-            return np.empty(0, np.int32)
+    def column(self, texts: list[str]) -> pa.Array:
+        """The ids of each text; the texts are those of a slice, so their units are bounded, or one text."""
+        ends, found = [0], []
+        for text in texts:
+            found += units_of(text, self.pattern)
+            ends.append(len(found))
         at = self.places(found)
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        return self.values[np.arange(ends[-1]) + np.repeat(self.starts[at].astype(np.int64) - ends + sizes, sizes)].astype(np.int32)
-
-    def column(self, texts: list[str]) -> pa.Array:
-        found = [self.encode(text) for text in texts]
-        offsets = np.append(0, np.cumsum([len(ids) for ids in found])).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+        stops = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        places = np.repeat(self.starts[at].astype(np.int64) - stops[:-1], sizes)
+        places += np.arange(stops[-1])
+        return pa.ListArray.from_arrays(pa.array(stops[ends].astype(np.int32)), pa.array(self.values[places].astype(np.int32)))
 
 
 def _sliced(batch: pd.DataFrame, name: str, values: Iterator, weigh=len) -> Iterator[pd.DataFrame]:
@@ -314,7 +301,7 @@ def encode(
         return _encode_by_join(source, known, text_col, pattern)
     files = known.inputFiles()
     added = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return with_text_results(source, text_col, added, lambda texts: [_Dictionary.of(files, n_units, n_ids, pattern).column(texts)])
+    return with_text_results(source, text_col, added, lambda texts: [_Dictionary.of(files, n_units, n_ids, pattern).column(texts)], SLICE_BYTES)
 
 
 def _encode_by_join(source: DataFrame, known: DataFrame, text_col: str, pattern: str) -> DataFrame:

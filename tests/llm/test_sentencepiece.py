@@ -90,6 +90,15 @@ def test_a_word_is_one_unit_whatever_mark_follows(spark):
             assert re.findall(pattern, piece) == [piece]
 
 
+def test_units_of_very_long_words(spark):
+    pattern = sentencepiece.unit_pattern()
+    texts = ["x" * 200_000, "-" * 200_000, "日," * 100_000, "日1" * 100_000 + " a,", " " * 200_000]
+    rows = spark.createDataFrame([(text,) for text in texts], "text string").select("text", sentencepiece.units(F.col("text"), pattern))
+    for text, found in rows.collect():
+        assert found == sentencepiece.units_of(text, pattern)
+        assert "".join(found) == sentencepiece.SPACE + text.replace(" ", sentencepiece.SPACE)
+
+
 def test_the_dictionary_is_held_in_few_bytes(spark, tmp_path):
     units = spark.range(200_000).selectExpr("xxhash64(cast(id as string)) hash", "array(cast(id % 30000 as int), 7) ids")
     units.write.parquet(f"file://{tmp_path}/units")
