@@ -333,7 +333,7 @@ def block_pairs(placed: DataFrame, settings: Settings, block: int) -> DataFrame:
     classed = placed.join(totals, "label").withColumn(
         "c", F.when(F.col("total") <= block, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / ratio + 1e-9)).cast("int")
     )
-    counts = classed.groupBy("label", "c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counts = materialize(classed.groupBy("label", "c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "classes")
     above = counts.select("label", (F.col("c") - 1).alias("c"), F.col("blocks").alias("above"))
     below = counts.select("label", (F.col("c") + 1).alias("c"), F.col("blocks").alias("below"))
     counts = counts.join(above, ["label", "c"], "left").join(below, ["label", "c"], "left")
@@ -454,8 +454,13 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     table = materialize(signed(docs, settings).withColumn("row", F.monotonically_increasing_id()), "signed")
     rows = materialize(table.drop("keys"), "sizes")
-    owners = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("least").alias("least")
+    # What several branches read is written first, here and below: a plan that holds its inputs again in each branch doubles
+    # with every step, and the driver keeps all of it.
+    owners = materialize(
+        rows.where("node is not null and doc_id is not null").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("least").alias("least")
+        ),
+        "owners",
     )
     # Row numbers stand for nodes here, since they shrink better; a key that occurs once is no candidate.  Every key goes through
     # one exchange only, and is counted where it arrives.
@@ -464,16 +469,17 @@ def near_duplicates(
     found = shared.join(rows.select("row", "node"), "row")
     found = materialize(found.select("key", "node").distinct(), "found")
     discard(table)
-    members = _rarest(_pruned(_pruned(found, owners), owners), owners)
+    members = found
+    for step in (_pruned, _pruned, _rarest):
+        found, members = members, materialize(step(members, owners), "members")
+        discard(found)
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     near = members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     clusters = components(near)
-    discard(found)
-    placed = clusters.join(owners, "node").select("doc_id", "node", "size", "label")
+    discard(members)
     sketches = rows.where("sketch is not null").dropDuplicates(["node"]).select("node", "sketch")
-    parts = components(parted(placed, sketches, settings))
-    placed = parts.join(owners, "node").select("doc_id", "node", "size", "label")
-    labels = components(multiply(docs, placed, settings, block))
+    parts = components(parted(_placed(clusters, owners), sketches, settings))
+    labels = components(multiply(docs, _placed(parts, owners), settings, block))
 
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))
@@ -482,10 +488,15 @@ def near_duplicates(
     )
 
 
+def _placed(clusters: DataFrame, owners: DataFrame) -> DataFrame:
+    """The sets of ``clusters`` with an id and their size."""
+    return materialize(clusters.join(owners, "node").select("doc_id", "node", "size", "label"), "placed")
+
+
 def _pruned(found: DataFrame, owners: DataFrame) -> DataFrame:
     """``found`` without sets that share too few keys to link with any, and then without keys of one set."""
     counted = found.groupBy("node").agg(F.count("*").alias("n")).join(owners.select("node", "least"), "node")
-    kept = found.join(counted.where("n >= least").select("node"), "node")
+    kept = found.join(counted.where("n >= least").select("node"), "node").select("key", "node")
     several = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return kept.join(several, "key").select("key", "node")
 

@@ -134,6 +134,21 @@ def test_chains_of_unlike_texts_are_parted_before_their_sets_travel(spark, monke
     assert found == {at: at for at in range(50)} | {50: 7, 51: 30}
 
 
+def test_plans_do_not_double_with_each_step(spark, monkeypatch):
+    docs = spark.createDataFrame([(at, f"a b c d {at % 3} e f g h") for at in range(9)], "doc_id long, text string")
+    scans, write = {}, ngram_join.materialize
+
+    def written(table, name):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        scans[name] = max(scans.get(name, 0), plan.count("Relation ["))
+        return write(table, name)
+
+    monkeypatch.setattr(ngram_join, "materialize", written)
+    monkeypatch.setattr(ngram_join, "components", lambda links: (written(links, "links"), components(links))[1])
+    assert ngram_join.near_duplicates(docs).count() == 9
+    assert max(scans.values()) <= 12, scans
+
+
 def test_sketches_rule_out_no_link():
     rng = np.random.default_rng(9)
     for settings in (ngram_join.Settings(), ngram_join.Settings(words=5, percent=80)):
