@@ -153,8 +153,8 @@ def chunk_snippet(t: Tables):
 
 @register(
     "h10_best_window_snippet",
-    rf"""WITH {HITS_SQL}, f AS (SELECT query_id, id, content, lower(left(content, 10150)) AS low, list_distinct(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]{{3,}}')) AS tokens FROM hits),
-    w AS (SELECT query_id, id, content, low, tokens, unnest(range(0, CAST(least(greatest(length(content), 1), 10000) AS BIGINT), 100)) AS start FROM f),
+    rf"""WITH {HITS_SQL}, f AS (SELECT query_id, id, content, lower(content) AS low, list_distinct(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]{{3,}}')) AS tokens FROM hits),
+    w AS (SELECT query_id, id, content, low, tokens, unnest(range(0, CAST(greatest(length(content), 1) AS BIGINT), 100)) AS start FROM f),
     s AS (SELECT *, len(list_filter(tokens, lambda x: contains(substr(low, start + 1, 150), x))) AS score FROM w),
     b AS (SELECT query_id, id, content, CASE WHEN score > 0 THEN start ELSE 0 END AS start FROM s QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, start) = 1)
     SELECT query_id, id, {sql_trim("CASE WHEN start > 0 THEN '…' ELSE '' END || substr(content, start + 1, 150) || CASE WHEN start + 150 < length(content) THEN '…' ELSE '' END")} AS snippet FROM b""",

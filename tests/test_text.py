@@ -93,6 +93,31 @@ def test_window_snippet(column):
     assert found[1] == "short alpha"
 
 
+def test_window_snippet_reads_the_whole_text(column):
+    # the best window lies far behind the beginning, which has one of the words
+    body = "Alpha " + "é🙂\n" * 4_000 + "z" * 60 + " alpha BETA " + "y" * 400
+    schema, found = "t string, q array<string>", text.best_window_snippet("t", "q")
+    start = body.index("alpha") // 100 * 100
+    assert column([(body, ["alpha", "beta"])], schema, found) == ["…" + body[start : start + 150] + "…"]
+    at_end = "x" * 250_030 + "omega"
+    assert column([(at_end, ["omega"])], schema, found) == ["…" + at_end[249_900:250_050]]
+    assert column([("", ["a"]), (None, ["a"]), ("ab", None)], schema, found) == ["", None, "ab"]
+    near = text.best_window_snippet("t", "q", reach=10_000)
+    assert column([(body, ["alpha", "beta"]), ("y" * 9_980 + "alpha" + "z" * 99, ["alpha"])], schema, near) == [
+        body[:150] + "…", "…" + "y" * 80 + "alpha" + "z" * 65 + "…",
+    ]
+
+    def plain(body, wanted, width, step):
+        scores = [sum(token in body[at : at + width] for token in wanted) for at in range(0, len(body), step)]
+        at = scores.index(max(scores)) * step if max(scores) else 0
+        return ("…" if at else "") + body[at : at + width] + ("…" if at + width < len(body) else "")
+
+    body = "".join("abcdefgh"[at * at % 31 % 8] for at in range(3_000))
+    for width, step in ((150, 100), (40, 50), (90, 30), (7, 7)):
+        wanted = ["aebd", "hh", "cb", "b"]
+        assert column([(body, wanted)], schema, text.best_window_snippet("t", "q", width, step)) == [plain(body, wanted, width, step)]
+
+
 def test_truncate_middle(column):
     body = "a" * 50 + " " * 20 + "b" * 50
     assert column([body], "t string", text.truncate_middle("t", 100, 40)) == ["a" * 50 + "\n...\n" + "b" * 40]
