@@ -10,7 +10,7 @@ place and folded by the higher-order ``aggregate``: the best sum of scores up to
 
 The segmented units reach the texts without moving them while their table is measured
 to be small (``MAX_DICTIONARY_BYTES``): the tasks read it from the shared folder into a few arrays.  A larger
-table meets the distinct units of each document in a shuffle join.
+table is sorted by the hash of the unit, and a task goes over it once for each ``HELD_BYTES`` of its texts; texts are never dealt out.
 
 The scores are those of the model file, taken as a unigram model takes them.  A file whose
 pieces come from merges (BPE) is segmented by the best sum of its scores too, which is
@@ -26,18 +26,20 @@ from __future__ import annotations
 
 import re
 import string
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import count, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, with_text_results
+from .common import discard, materialize, text_slices, with_text_results
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -46,11 +48,16 @@ LENGTH_BITS, ID_BITS = 8, 22
 # A table of segmented units up to this size is read whole by every Python worker; bytes of a unit beside its ids, while it is read.
 MAX_DICTIONARY_BYTES = 256 << 20
 UNIT_BYTES = 48
-# Units whose place a task remembers, and ids it hands over at once.
+# Units whose place a task remembers.
 CACHED_UNITS = 1 << 16
-SLICE_IDS = 2 << 20
 # Bytes of text whose units a task looks up at once.
 SLICE_BYTES = 1 << 20
+# Units a task segments, and those it sorts by hash.
+TASK_UNITS = 1 << 16
+SORTED_UNITS = 1 << 19
+# Bytes of text a task holds while it goes over a table of units that is too large for it.
+HELD_BYTES = 32 << 20
+BLOCK_SCHEMA = pa.schema([("hash", pa.int64()), ("unit", pa.string()), ("ids", pa.list_(pa.int32()))])
 
 
 def _processor(path: str | None):
@@ -246,7 +253,7 @@ class _Dictionary:
             cache.clear()
         missing = list(set(found).difference(cache))
         if missing:
-            hashes = np.array([xxhash.xxh64_intdigest(unit.encode(), 42) for unit in missing], np.uint64).view(np.int64)
+            hashes = _hashes(missing)
             order = np.argsort(hashes)  # neighbours are looked up after each other
             at = np.empty(len(order), np.int64)
             at[order] = np.searchsorted(self.hashes, hashes[order])
@@ -267,25 +274,9 @@ class _Dictionary:
         return pa.ListArray.from_arrays(pa.array(stops[ends].astype(np.int32)), pa.array(self.values[places].astype(np.int32)))
 
 
-def _sliced(batch: pd.DataFrame, name: str, values: Iterator, weigh=len) -> Iterator[pd.DataFrame]:
-    held, first, weight = [], 0, 0
-    for value in values:
-        held.append(value)
-        weight += weigh(value)
-        if weight >= SLICE_IDS:
-            yield batch.iloc[first : first + len(held)].assign(**{name: held})
-            first, held, weight = first + len(held), [], 0
-    if held:
-        yield batch.iloc[first : first + len(held)].assign(**{name: held})
-
-
-def _schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in docs.schema)
-
-
 def encode(
     docs: DataFrame, model: str | None = None, text_col: str = "text", id_col: str = "doc_id",
-    max_dictionary_bytes: int = MAX_DICTIONARY_BYTES,
+    max_dictionary_bytes: int = MAX_DICTIONARY_BYTES, held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """``docs`` with ``ids``."""
     source = docs.drop("ids")
@@ -293,37 +284,118 @@ def encode(
     table = pieces(docs.sparkSession, model)
     pattern = unit_pattern(model)
     words = source.select(F.explode(units(F.coalesce(F.col(text_col), F.lit("")), pattern)).alias("unit")).distinct()
-    known = materialize(segment(words, table, first_byte).select(F.xxhash64("unit").alias("hash"), "unit", "ids"), "units")
+    # Counted first: the edges of the units of a task are sorted, and would be written to disk if there were many.
+    words = materialize(words, "words")
+    parts = words.repartition(words.count() // TASK_UNITS + 1, "unit")
+    known = materialize(segment(parts, table, first_byte).select(F.xxhash64("unit").alias("hash"), "unit", "ids"), "units")
+    discard(words)
     n_units, n_ids = known.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     if n_units == 0:
         return source.withColumn("ids", F.array().cast("array<int>"))
     if n_units * UNIT_BYTES + n_ids * 2 > max_dictionary_bytes:
-        return _encode_by_join(source, known, text_col, pattern)
+        blocks = materialize(_blocks(known, n_units), "unit-blocks")
+        discard(known)
+        return _encode_by_passes(source, blocks.inputFiles(), text_col, pattern, held_bytes)
     files = known.inputFiles()
     added = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return with_text_results(source, text_col, added, lambda texts: [_Dictionary.of(files, n_units, n_ids, pattern).column(texts)], SLICE_BYTES)
 
 
-def _encode_by_join(source: DataFrame, known: DataFrame, text_col: str, pattern: str) -> DataFrame:
-    """Each document meets the ids of its own distinct units, by a shuffle on the unit and one on a number of the row."""
-    numbered = materialize(source.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = numbered.select("__row", F.explode(F.array_distinct(units(text, pattern))).alias("unit")).join(known, "unit")
-    lists = own.groupBy("__row").agg(F.collect_list("unit").alias("__units"), F.collect_list("ids").alias("__ids"))
-    joined = numbered.join(lists, "__row", "left").drop("__row")
-
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(text, names, ids):
-            if not text:
-                return []
-            place = dict(zip(names, ids, strict=True))
-            return np.concatenate([place[unit] for unit in units_of(text, pattern)])
+def _blocks(known: DataFrame, n_units: int) -> DataFrame:
+    """``(first, last, rows)``: the units in order of their hash, some thousands to a row, as Arrow reads them without decoding."""
+    ordered = known.select("hash", "unit", "ids").repartitionByRange(n_units // SORTED_UNITS + 1, "hash").sortWithinPartitions("hash")
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = map(one, batch[text_col], batch["__units"], batch["__ids"])
-            yield from _sliced(batch.drop(columns=["__units", "__ids"]), "ids", values)
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch]).cast(BLOCK_SCHEMA).combine_chunks().to_batches()[0]
+                hashes, held = rows.column("hash"), rows.serialize().to_pybytes()
+                ends = [pa.array([hashes[at].as_py()], pa.int64()) for at in (0, -1)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array([held], pa.binary())], ["first", "last", "rows"])
+
+    return ordered.mapInArrow(packed, "first long, last long, rows binary")
+
+
+def _read_blocks(files: list[str]) -> Iterator[tuple[int, int, pa.Buffer]]:
+    """The rows of ``_blocks``, a few at a time."""
+    from pyarrow import fs, parquet
 
-    return joined.mapInPandas(encoded, f"{_schema(source)}, ids array<int>")
+    for uri in files:
+        store, place = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(place) as file:
+            for part in parquet.ParquetFile(file, buffer_size=SLICE_BYTES, pre_buffer=False).iter_batches(4):
+                ends = zip(part.column("first").to_pylist(), part.column("last").to_pylist(), strict=True)
+                for (first, last), rows in zip(ends, part.column("rows"), strict=True):
+                    yield first, last, rows.as_buffer()
+
+
+def _hashes(found: list[str]) -> np.ndarray:
+    """What ``F.xxhash64`` gives for them."""
+    return np.array([xxhash.xxh64_intdigest(unit.encode(), 42) for unit in found], np.uint64).view(np.int64)
+
+
+def _ids_of(found: list[str], hashes: np.ndarray, blocks: Iterator[tuple[int, int, pa.Buffer]]):
+    """``(starts, sizes, values)``: the ids of the distinct units ``found``, from one pass over ``blocks``.
+
+    A hash only tells where to look: units are the same if their letters are.
+    """
+    order = np.argsort(hashes)
+    hashes, spelled = hashes[order], pa.array(found, pa.string()).take(pa.array(order))
+    starts, sizes = np.zeros(len(order), np.int64), np.full(len(order), -1, np.int32)
+    values, at = [], 0
+    for first, last, rows in blocks:
+        low, high = np.searchsorted(hashes, first), np.searchsorted(hashes, last, "right")
+        if low == high:
+            continue
+        rows = pa.ipc.read_record_batch(rows, BLOCK_SCHEMA)
+        have, asked = rows.column("hash").to_numpy(), hashes[low:high]
+        begin = np.searchsorted(have, asked)
+        several = np.searchsorted(have, asked, "right") - begin
+        mine = np.repeat(np.arange(low, high), several)
+        theirs = np.arange(len(mine)) + np.repeat(begin - np.cumsum(several) + several, several)
+        same = pc.equal(spelled.take(pa.array(mine)), rows.column("unit").take(pa.array(theirs))).to_numpy(zero_copy_only=False)
+        ids = rows.column("ids").take(pa.array(theirs[same]))
+        lengths, mine = ids.value_lengths().to_numpy(zero_copy_only=False), order[mine[same]]
+        sizes[mine], starts[mine] = lengths, at + np.cumsum(lengths, dtype=np.int64) - lengths
+        values.append(ids.flatten().to_numpy(zero_copy_only=False))
+        at += len(values[-1])
+    if len(sizes) and sizes.min() < 0:
+        raise RuntimeError(f"{(sizes < 0).sum()} units are not in the table: the texts changed between two reads")
+    return starts, sizes, np.concatenate(values) if values else np.empty(0, np.int32)
+
+
+def _encode_by_passes(source: DataFrame, files: list[str], text_col: str, pattern: str, held_bytes: int) -> DataFrame:
+    """A task holds ``held_bytes`` of text and numbers its units, then goes over all units once and takes the ids of its own.
+
+    Neither texts nor ids of units are dealt out, so nothing but the table of units is on disk, and no task holds that.
+    """
+    names = [*source.columns, "ids"]
+
+    def encoded(held: list[tuple[pa.RecordBatch, list[int], np.ndarray]], found: list[str]) -> Iterator[pa.RecordBatch]:
+        starts, sizes, values = _ids_of(found, _hashes(found), _read_blocks(files))
+        for part, ends, at in held:
+            stops = np.append(0, np.cumsum(sizes[at], dtype=np.int64))
+            places = np.repeat(starts[at] - stops[:-1], sizes[at])
+            places += np.arange(stops[-1])
+            ids = pa.ListArray.from_arrays(pa.array(stops[ends].astype(np.int32)), pa.array(values[places], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight, numbers = [], 0, defaultdict(count().__next__)
+        for part in text_slices(batches, text_col, SLICE_BYTES):
+            ends, found = [0], []
+            for text in part.column(text_col).to_pylist():
+                found += units_of(text or "", pattern)
+                ends.append(len(found))
+            held.append((part, ends, np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))))
+            weight += pc.sum(pc.binary_length(part.column(text_col))).as_py() or 0
+            if weight >= held_bytes:
+                yield from encoded(held, list(numbers))
+                held, weight, numbers = [], 0, defaultdict(count().__next__)
+        if held:
+            yield from encoded(held, list(numbers))
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(coded: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

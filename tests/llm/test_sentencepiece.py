@@ -1,7 +1,11 @@
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import sentencepiece as library
+from conftest import plan_of
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_file
 
@@ -48,6 +52,43 @@ def test_odd_texts_both_ways(spark, odd, none):
     assert sentencepiece.encode(none).count() == 0
 
 
+def test_a_large_table_of_units_moves_no_text(spark, odd):
+    texts = [" ".join(f"w{at % 97}é{at * at % 89}" for at in range(first, first + 40)) for first in range(0, 4_000, 20)]
+    docs = odd([*ODD, *texts]).repartition(3)
+    far = sentencepiece.encode(docs, max_dictionary_bytes=0, held_bytes=3_000)
+    known = sentencepiece.encode(docs)
+    assert far.columns == known.columns and far.schema["ids"].dataType == known.schema["ids"].dataType
+    assert sorted(map(tuple, far.select("doc_id", "text", "ids").fillna("").collect()), key=str) == sorted(
+        map(tuple, known.select("doc_id", "text", "ids").fillna("").collect()), key=str
+    )
+    fixed = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    assert "Exchange" not in plan_of(sentencepiece.encode(fixed, max_dictionary_bytes=0))
+
+
+def test_units_with_the_same_hash_are_told_apart():
+    def block(*rows):
+        columns = [pa.array(list(column), field.type) for column, field in zip(zip(*rows), sentencepiece.BLOCK_SCHEMA)]
+        batch = pa.RecordBatch.from_arrays(columns, schema=sentencepiece.BLOCK_SCHEMA)
+        return rows[0][0], rows[-1][0], batch.serialize()
+
+    blocks = [block((-5, "a", [1]), (3, "b", [2, 2]), (3, "c", [3])), block((3, "d", [4]), (9, "e", [5, 6, 7]))]
+    found, hashes = ["d", "e", "b", "c"], np.array([3, 9, 3, 3])
+    starts, sizes, values = sentencepiece._ids_of(found, hashes, iter(blocks))
+    assert [values[at : at + n].tolist() for at, n in zip(starts, sizes)] == [[4], [5, 6, 7], [2, 2], [3]]
+    with pytest.raises(RuntimeError, match="1 units"):
+        sentencepiece._ids_of(["d", "z"], np.array([3, 3]), iter(blocks))
+
+
+def test_units_are_segmented_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(at, f"{chr(97 + at % 26)}{chr(97 + at // 26)}") for at in range(100)], "doc_id long, text string")
+    known, seen = sentencepiece.encode(docs).collect(), []
+    segment = sentencepiece.segment
+    monkeypatch.setattr(sentencepiece, "TASK_UNITS", 16)
+    monkeypatch.setattr(sentencepiece, "segment", lambda words, *rest: (seen.append(words.rdd.getNumPartitions()), segment(words, *rest))[1])
+    assert sorted(sentencepiece.encode(docs).collect()) == sorted(known)
+    assert seen == [100 // 16 + 1]
+
+
 def test_lattice_against_all_segmentations(spark):
     table = spark.createDataFrame(
         [("a", 10, -1.0), ("b", 11, -1.5), ("ab", 12, -2.0), ("ba", 13, -2.6), ("aba", 14, -3.1)],
