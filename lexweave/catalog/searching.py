@@ -8,6 +8,7 @@ from ..functions import fixed_values as fixed
 from ..functions import rules, stemming, text
 from ..operators import chunking, fusion, lexical, query, vector
 from ..plans import search
+from ..session import materialize, small_side
 from .base import ASKED_SQL, DOCUMENTS_SQL, QUERIES_SQL, RWS, Tables, register, sql_group, sql_trim
 from .enrichment import sql_ministries, sql_rules
 from .ingest import walk_sql
@@ -585,11 +586,21 @@ CHUNK_HYBRID_SQL = f"""{DOCUMENTS_SQL}, {QUERIES_SQL}, {FILTERED_QUERIES_SQL}, {
 
 
 def embedded_chunks(t: Tables):
-    """Chunks of the documents; the first of each carries the vector of the document."""
+    """Chunks of the documents, and the vectors of those that have one: the first of each carries that of its document.
+
+    A chunk stands there once for each of its vectors.  Vectors that repeat an id are counted apart, so that texts stay where they are.
+    """
+    keys = ["document_id", "chunk_index"]
     vectors = t.read("embeddings").select(
         F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding"
     )
-    return chunking.chunk_documents(t.documents(), 1000).join(vectors, ["document_id", "chunk_index"], "left")
+    chunks = chunking.chunk_documents(t.documents(), 1000)
+    several = materialize(vectors.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1"), "several")
+    rows = chunks.join(small_side(several), keys, "left").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long"))))
+    )
+    names = ["id", *[name for name in lexical.FILTERS if name in chunks.columns]]
+    return rows.drop("copies", "copy"), chunks.select(*names, *keys).join(vectors, keys).select(*names, "embedding")
 
 
 @register(
@@ -598,7 +609,8 @@ def embedded_chunks(t: Tables):
     c.document_id, c.chunk_index, c.law_type, md5(c.content) AS content_md5 FROM page p JOIN chunk_rows c ON c.id = p.id""",
 )
 def hybrid_chunks(t: Tables):
-    corpus = search.index_corpus(embedded_chunks(t))
+    rows, vectors = embedded_chunks(t)
+    corpus = search.index_corpus(rows, vectors=vectors)
     hits = search.hybrid_search(corpus, filtered(t.vector_queries()), 10)
     return hits.select(
         "query_id", "id", "lexical_score", "similarity", F.round("rrf_score", 9).alias("rrf_score"), "rank",

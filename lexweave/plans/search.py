@@ -26,28 +26,31 @@ class Corpus:
     """A searchable table and its text index.
 
     ``rows`` is keyed by ``id`` and has ``content``, maybe ``embedding``, the
-    filter columns and the payload.
+    filter columns and the payload.  Where embeddings lie in a table of their own, ``vectors`` has them with ``id`` and the
+    filter columns, so that no text moves to its vector.
     """
 
     rows: DataFrame
     postings: DataFrame
     dictionary: DataFrame
     stats: DataFrame
+    vectors: DataFrame | None = None
 
 
-def index_corpus(rows: DataFrame, positions: bool = False) -> Corpus:
+def index_corpus(rows: DataFrame, positions: bool = False, vectors: DataFrame | None = None) -> Corpus:
     """Builds the text index of ``rows`` and saves index, dictionary and numbers once.
 
     Each search reads the index several times by column and never cuts the texts
     into words again.  Phrases need ``positions``.
     """
     keep = [name for name in [*lexical.FILTERS, "document_id"] if name in rows.columns]
-    postings = materialize(lexical.build_postings(rows, keep=keep, positions=positions), "postings")
+    postings = materialize(lexical.build_postings(rows, keep=keep, positions=positions), "postings", "zstd")
     return Corpus(
         rows,
         postings,
         materialize(lexical.term_stats(postings), "dictionary"),
         materialize(lexical.corpus_stats(rows, postings), "corpus-stats"),
+        vectors,
     )
 
 
@@ -85,7 +88,8 @@ def ranked_branches(
         top = top.unionByName(
             lexical.empty_plan_matches(queries, plan, corpus.rows, k, empty_policy)
         )
-    nearest = vector.vector_top(corpus.rows, queries, k) if "vector" in queries.columns else None
+    embedded = corpus.rows if corpus.vectors is None else corpus.vectors
+    nearest = vector.vector_top(embedded, queries, k) if "vector" in queries.columns else None
     return top, nearest
 
 

@@ -451,3 +451,32 @@ def test_words_alone_are_sorted_without_positions(spark, chunks):
     expected = {(at, word, body.split().count(word), len(body.split())) for at, body in enumerate(TEXTS) for word in body.split()}
     found = built.select("id", "token", "tf", "n_tokens").collect()
     assert len(found) == len(expected) and set(map(tuple, found)) == expected
+
+
+def test_texts_of_chunks_do_not_move_to_their_vectors(spark, tmp_path):
+    from conftest import plan_of
+
+    from lexweave.catalog import searching
+    from lexweave.catalog.base import Tables
+    from lexweave.operators import chunking
+
+    docs = [(1, "lov om " * 400), (2, "kort tekst"), (2, "en annen tekst"), (3, "uten vektor"), (None, "uten id"), (4, None)]
+    docs = [(at, content, "no", "src1", len(content or "")) for at, content in docs]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, None), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (None, [1.0, 1.0]), (None, [1.0, 1.0]), (9, [1.0, 1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    t = Tables(spark, str(tmp_path))
+    keyed = t.read("embeddings").selectExpr("vec_id AS document_id", "0 AS chunk_index", "embedding")
+    joined = chunking.chunk_documents(t.documents(), 1000).join(keyed, ["document_id", "chunk_index"], "left").collect()
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, embedded = searching.embedded_chunks(t)
+        assert "hashpartitioning" not in plan_of(rows)  # what tasks are dealt by key
+        names = ["id", "document_id", "chunk_index", "content", "law_type", "start_char"]
+        listed = lambda found: sorted(repr([row[name] for name in names]) for row in found)
+        assert listed(rows.collect()) == listed(joined)
+        pairs = lambda found: sorted(repr((row["id"], row["embedding"], row["law_type"])) for row in found if row["embedding"] is not None)
+        assert pairs(embedded.collect()) == pairs(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
