@@ -480,3 +480,19 @@ def test_texts_of_chunks_do_not_move_to_their_vectors(spark, tmp_path):
         assert pairs(embedded.collect()) == pairs(joined)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+
+
+def test_words_outside_the_candidates_stay_where_they_are(spark):
+    from lexweave.operators import lexical
+
+    rows = spark.range(40_000).selectExpr("id", "id % 7 AS term_id", "cast(id as string) AS token")
+    others = spark.range(0, 40_000, 40).selectExpr("id", "id % 7 AS term_id").unionByName(spark.sql("SELECT cast(null as bigint) id, 1L term_id"))
+    exact = {row["id"] for row in rows.join(others, ["id", "term_id"]).collect()}
+    for most in (lexical.MAX_BITS, 1 << 10):
+        found = lexical.possibly_among(rows, others, ["id", "term_id"], most)
+        kept = found.collect()
+        assert found.columns == rows.columns and exact <= {row["id"] for row in kept}
+        assert len(exact) == 1_000 and len(kept) == len({row["id"] for row in kept}) <= 2_500
+    assert lexical.possibly_among(rows, others.where("id < 0"), ["id"]).count() == 0
+    named = rows.selectExpr("token AS id", "term_id")
+    assert lexical.possibly_among(named, named.where("term_id = 3"), ["id"]).where("term_id = 3").count() == rows.where("term_id = 3").count()
